@@ -21,11 +21,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return counts.scores(3.0).select(F.col("item_a").alias("addr_a"), F.col("item_b").alias("addr_b"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillrock.llm.neighbours import nearest_vectors, neighbour_pairs
+
+    pairs = neighbour_pairs(nearest_vectors(table(spark, sf, "chunks")))
+    return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from quillrock.llm.tokens import BYTE_BPE_PATTERN, encode_corpus
 
     return encode_corpus(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
 
 
-QUERIES = {"p4_found": p4_found, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillrock.llm.leakage import leaked_items
+
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
