@@ -28,6 +28,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillrock.llm.nearduplicates import similar_messages
+
+    return similar_messages(table(spark, sf, "messages"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from quillrock.llm.tokens import BYTE_BPE_PATTERN, encode_corpus
 
@@ -40,5 +46,11 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillrock.llm.spans import shared_characters
+
+    return shared_characters(table(spark, sf, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
