@@ -12,6 +12,12 @@ from quillrock.session import table
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillrock.llm.personal import personal_spans
+
+    return personal_spans(table(spark, sf, "messages"), table(spark, sf, "roster")).select("row_id", "kind", "char_start")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from quillrock.llm.pairs import PairCounts
 
@@ -52,5 +58,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_characters(table(spark, sf, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
