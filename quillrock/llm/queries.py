@@ -40,6 +40,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_messages(table(spark, sf, "messages"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillrock.llm.newtext import new_text_lines
+
+    return new_text_lines(table(spark, sf, "messages"), table(spark, sf, "roster"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     from quillrock.llm.tokens import BYTE_BPE_PATTERN, encode_corpus
 
@@ -58,5 +64,5 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_characters(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
