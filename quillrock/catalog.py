@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillrock.operators.deliveries import superseded_deliveries
 from quillrock.operators.timestamps import normalise_timestamps
-from quillrock.queries import permissions
+from quillrock.queries import messages, permissions
 from quillrock.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,6 @@ SELECT row_id FROM r WHERE n > 1
 """
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found} | permissions.QUERIES
-SQL: dict[str, str] = {"p3_found": P3_SQL} | permissions.SQL
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found} | permissions.QUERIES | messages.QUERIES
+SQL: dict[str, str] = {"p3_found": P3_SQL} | permissions.SQL | messages.SQL
 FLAGSHIP = "plan_strategy"
