@@ -24,7 +24,7 @@ MAX_K = 50
 
 
 def luhn_valid(c: Column) -> Column:
-    return F.coalesce(F.luhn_check(F.regexp_replace(c, r"[^0-9]", "")), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", F.regexp_replace(c, r"[^0-9]", "")), F.lit(False))
 
 
 def iban_valid(c: Column) -> Column:
