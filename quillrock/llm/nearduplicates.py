@@ -8,10 +8,9 @@ enumerated partitions follow from the threshold: a pair that is just similar eno
 no enumerated, non-empty partition with a probability of ``miss`` at most, more similar pairs
 far less; where sets are too small for that, every shingle is a signature and nothing is
 missed. Pairs that share a signature are verified on their exact shingles; before that, pairs whose 128-bit SimHash sketches are too far apart are left out, with the same
-bound. A signature of more than ``cap`` texts (boilerplate) emits no pairs. Texts that lose more
-than a quarter of their signatures so are joined by an exact prefix filter on document
-frequencies instead; that covers families of more than ``cap`` similar texts, which agree on
-so many. Only there, and near the threshold, a pair may keep less than ``miss`` allows for.
+bound. The texts of a signature that more than ``cap`` have (boilerplate, large families) are
+compared with each other too, in salted blocks spread over tasks, by sketches four times as long:
+they would leave too many chance pairs to the verification else. No signature is left out.
 Texts with equal words are one class.
 """
 
@@ -71,33 +70,42 @@ def shingle_sets(texts: list[str | None], memo: WordHashes, width: int = 3) -> l
     return out
 
 
-#: Bits of the sketch of a set, in words of 64.
-SKETCH_WORDS = 2
+#: Bits of the sketch of a set, in words of 64; the longer ones begin with the shorter.
+SKETCH_WORDS, LONG_SKETCH_WORDS = 2, 8
+#: Texts of a block of a signature that more than ``cap`` have.
+HOT_BLOCK = 4096
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A SimHash of each set: ``len(sets) x SKETCH_WORDS``."""
+def sketches(sets: list[np.ndarray], words: int = SKETCH_WORDS) -> np.ndarray:
+    """A SimHash of each set: ``len(sets) x words``."""
     size = np.array([len(s) for s in sets])
-    out = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
+    out = np.zeros((len(sets), words), np.uint64)
     some = np.flatnonzero(size)
     if not len(some):
         return out
     x = np.concatenate([sets[i] for i in some])
     start = np.cumsum(size[some]) - size[some]
-    for k in range(SKETCH_WORDS):
-        bits = np.unpackbits(mix(x ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, start, axis=0, dtype=np.int32) * 2 > size[some][:, None]
-        out[some, k] = np.packbits(votes, axis=1).view(np.uint64).ravel()
+    # votes are counted in the eight bytes of a number, in runs of 255 at most
+    runs = -(-size[some] // 255)
+    first = np.cumsum(runs) - runs
+    begin = np.repeat(start - 255 * first, runs) + 255 * np.arange(runs.sum())
+    for k in range(words):
+        h = mix(x ^ np.uint64(0x5851F42D4C957F2D * (k + 1) & (1 << 64) - 1))
+        votes = np.zeros((len(some), 8, 8), bool)
+        for bit in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(0x0101010101010101), begin).view(np.uint8).reshape(-1, 8)
+            votes[:, bit] = np.add.reduceat(lanes, first, axis=0, dtype=np.int32) * 2 > size[some][:, None]
+        out[some, k] = np.packbits(votes.reshape(-1, 64), axis=1).view(np.uint64).ravel()
     return out
 
 
 @lru_cache(maxsize=64)
-def most_differing(threshold: float, miss: float) -> int:
+def most_differing(threshold: float, miss: float, words: int = SKETCH_WORDS) -> int:
     """Bits in which the sketches of sets of at least this similarity differ, but for ``miss``:
     their angle is at most that of equal sizes."""
     cosine = 2 * threshold / (1 + threshold)
     p = math.acos(cosine) / math.pi
-    n = 64 * SKETCH_WORDS
+    n = 64 * words
     tail, k = 1.0, -1
     while tail > miss:
         k += 1
@@ -139,18 +147,26 @@ def signatures(sets: list[np.ndarray], threshold: float, miss: float) -> tuple[n
     return np.concatenate(owner), np.concatenate(signs)
 
 
+def near_in_block(sketch: np.ndarray, differing: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions ``i < j`` of the columns of ``sketch`` (words x texts) that differ in at most so many bits."""
+    for s in range(0, sketch.shape[1] - 1, 256):
+        i, j = np.nonzero(np.bitwise_count(sketch[:, s : s + 256, None] ^ sketch[:, None, s:]).sum(0) <= differing)
+        later = j > i
+        yield i[later] + s, j[later] + s
+
+
 def bucket_pairs(rows: DataFrame, key: str, cap: int, differing: int) -> DataFrame:
-    """``(a, b, n)`` of the ids that share a ``key`` and whose sketches (``s0, s1``) differ in at most
-    ``differing`` bits, of buckets of at most ``cap`` ids; larger buckets give ``(id, null, n)`` rows.
+    """``(a, b, key)`` of the ids that share a ``key`` and whose sketches (``s0, s1``) differ in at most
+    ``differing`` bits, of buckets of at most ``cap`` ids; larger buckets give ``(id, null, key)`` rows.
 
-    ``n`` is a number that each row carries. Reads each partition as a sorted stream; a bucket
-    holds at most ``cap`` rows, and their sketches are compared in blocks: only near pairs leave.
+    Reads each partition as a sorted stream; a bucket holds at most ``cap`` rows, and their
+    sketches are compared in blocks: only near pairs leave.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.uint64(2**64 - 1)
         open_key, hot = None, False
-        held: list[np.ndarray] = []  # parts of the open bucket: id, two sketch words, n
+        held: list[np.ndarray] = []  # parts of the open bucket: id, two sketch words
         count = 0
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -159,20 +175,16 @@ def bucket_pairs(rows: DataFrame, key: str, cap: int, differing: int) -> DataFra
                 return
             v = np.concatenate(held, axis=1)
             v = v[:, np.unique(v[0], return_index=True)[1]]
-            for s in range(0, v.shape[1] - 1, 256):
-                x, y = v[1:3, s : s + 256, None], v[1:3, None, s:]
-                i, j = np.nonzero(np.bitwise_count(x ^ y).sum(0) <= differing)
-                later = j > i
-                i, j = i[later] + s, j[later] + s
-                out.append((v[0, i], v[0, j], v[3, i]))
+            for i, j in near_in_block(v[1:3], differing):
+                out.append((v[0, i], v[0, j], np.full(len(i), open_key)))
 
         def batch() -> pa.RecordBatch:
-            a, b, n = (np.concatenate(c).view(np.int64) for c in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == -1), pa.array(n)], names=["a", "b", "n"])
+            a, b = (np.concatenate([o[k] for o in out]).view(np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == -1), pa.array(np.concatenate([o[2] for o in out]))], names=["a", "b", "key"])
 
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            cols = np.stack([b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(1, 5)])
+            cols = np.stack([b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(1, 4)])
             start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             ends = np.append(start[1:], len(keys))
             busy = ends - start > 1
@@ -185,7 +197,7 @@ def bucket_pairs(rows: DataFrame, key: str, cap: int, differing: int) -> DataFra
                 count += e - s
                 if hot or count > cap:
                     hot = True
-                    out += [(h[0], np.full(h.shape[1], none), h[3]) for h in held]
+                    out += [(h[0], np.full(h.shape[1], none), np.full(h.shape[1], open_key)) for h in held]
                     held = []
             if out:
                 yield batch()
@@ -194,8 +206,8 @@ def bucket_pairs(rows: DataFrame, key: str, cap: int, differing: int) -> DataFra
         if out:
             yield batch()
 
-    placed = rows.repartition(F.col(key)).sortWithinPartitions(key).select(F.col(key).cast("bigint"), "id", "s0", "s1", F.col("n").cast("bigint"))
-    return placed.mapInArrow(run, "a bigint, b bigint, n bigint")
+    placed = rows.repartition(F.col(key)).sortWithinPartitions(key).select(F.col(key).cast("bigint"), "id", "s0", "s1")
+    return placed.mapInArrow(run, "a bigint, b bigint, key bigint")
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
@@ -217,34 +229,46 @@ def _hashed(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
 
 
-def _prefix_pairs(texts: DataFrame, threshold: float, width: int, differing: int) -> DataFrame:
-    """Candidate pairs by an exact prefix filter, rarest shingles first; without a cap."""
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the given ids (each once); the ids are broadcast while few, else both are shuffled."""
+    return texts.join(broadcast_if_bounded(ids, ids.count(), 1_000_000), "id", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            sets = [np.frombuffer(s, np.uint64) for s in b.column(1).to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            each = np.repeat(np.arange(len(sets)), sizes)
-            sketch = sketches(sets)[each].view(np.int64)
-            x = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            ids = b.column(0).take(pa.array(each))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x), ids, pa.array(sizes[each]), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["h", "id", "size", "s0", "s1"]
-            )
 
-    each = persisted(_hashed(texts, width).mapInArrow(run, "h bigint, id bigint, size bigint, s0 bigint, s1 bigint"), "prefix")
-    frequency = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(frequency, "h").groupBy("id", "size", "s0", "s1").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    # shingles of one text come first in the order: they use up the prefix without being emitted
-    length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1 - (F.col("size") - F.size("o"))
-    emitted = shared.where(length > 0).select("id", "s0", "s1", F.lit(0).alias("n"), F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("e"))
-    pairs = bucket_pairs(emitted.select(F.col("e.h").alias("h"), "id", "s0", "s1", "n"), "h", 1 << 40, differing)
-    return pairs.where("b is not null").select("a", "b")
+def _hot_pairs(hot: DataFrame, texts: DataFrame, threshold: float, width: int, miss: float) -> DataFrame:
+    """``a, b`` (a < b) of the texts of ``hot`` (``key, id``) that share a key, by their long sketches.
 
+    The texts of a key are dealt into blocks of about ``HOT_BLOCK``, and every two blocks are
+    compared in one place. The two tests, of the short and the long sketch, share ``miss``.
+    """
+    near, far = (most_differing(threshold, miss / 2, w) for w in (SKETCH_WORDS, LONG_SKETCH_WORDS))
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of the given ids (each once); the ids are broadcast while few, else both are shuffled."""
-    return texts.join(broadcast_if_bounded(ids, ids.count(), 1_000_000), "id", "left_semi")
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for b in small(batches):
+            long = sketches(shingle_sets(b.column(1).to_pylist(), memo, width), LONG_SKETCH_WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in long], pa.binary())], names=["id", "sketch"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, at = np.unique(group.column("id").to_numpy(), return_index=True)
+        block = group.column("block").to_numpy()[at]
+        both = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        long = np.frombuffer(b"".join(group.column("sketch").take(pa.array(at)).to_pylist()), np.uint64).reshape(-1, LONG_SKETCH_WORDS).T
+        found = [(np.zeros(0, np.int64),) * 2]
+        for i, j in near_in_block(np.ascontiguousarray(long[:SKETCH_WORDS]), near):
+            keep = np.bitwise_count(long[:, i] ^ long[:, j]).sum(0) <= far
+            if both:  # pairs within one of the two blocks are compared elsewhere
+                keep &= block[i] != block[j]
+            found.append((ids[i[keep]], ids[j[keep]]))
+        return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+
+    used = persisted(hot.select("id").distinct(), "hotids")
+    long = _only(texts, used).select("id", "text").mapInArrow(sketch, "id bigint, sketch binary")
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / HOT_BLOCK).alias("blocks"))
+    dealt = hot.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    placed = dealt.join(long, "id").select("key", "id", "sketch", "block", other.alias("other"))
+    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "sketch", "block")
+    return placed.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def similar_pairs(keyed: DataFrame, texts: DataFrame, threshold: float = 0.8, width: int = 3, miss: float = 1e-4, cap: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -266,20 +290,17 @@ def similar_pairs(keyed: DataFrame, texts: DataFrame, threshold: float = 0.8, wi
             sets = shingle_sets(b.column(1).to_pylist(), memo, width)
             owner, signs = signatures(sets, threshold, miss)
             sketch = sketches(sets)[owner].view(np.int64)
-            own = np.bincount(owner, minlength=len(sets))[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signs.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.array(own.astype(np.int32))],
-                names=["sign", "id", "s0", "s1", "n"],
+                [pa.array(signs.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
+                names=["sign", "id", "s0", "s1"],
             )
 
-    signed = reps.select("id", "text").mapInArrow(sign, "sign bigint, id bigint, s0 bigint, s1 bigint, n int")
+    signed = reps.select("id", "text").mapInArrow(sign, "sign bigint, id bigint, s0 bigint, s1 bigint")
     found = persisted(bucket_pairs(signed, "sign", cap, differing), "candidates")
     candidates = found.where("b is not null").select("a", "b").distinct()
-    # texts of which boilerplate takes more than a quarter of their signatures
-    dull = found.where("b is null").groupBy("a").agg(F.count("*").alias("hot"), F.max("n").alias("n")).where(F.col("hot") * 4 > F.col("n"))
-    dull = persisted(dull.select(F.col("a").alias("id")), "dull")
-    if not dull.isEmpty():
-        candidates = candidates.unionByName(_prefix_pairs(_only(texts, dull), threshold, width, differing)).distinct()
+    hot = found.where("b is null").select("key", F.col("a").alias("id"))
+    if not hot.isEmpty():
+        candidates = candidates.unionByName(_hot_pairs(hot, texts, threshold, width, miss)).distinct()
     return verified(candidates, texts, threshold, width), classes
 
 

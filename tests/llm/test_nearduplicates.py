@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from quillrock.llm import nearduplicates as N
 from quillrock.llm.nearduplicates import level_plan, most_differing, similar_messages, similar_pairs, word_key
 from pyspark.sql import functions as F
 
@@ -61,6 +62,28 @@ def test_family_of_more_than_the_cap(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == brute(texts, 0.6)
 
 
+def found(spark, texts, cap):
+    df = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    pairs, _ = similar_pairs(word_key(df, F.col("text")).drop("text"), df, 0.6, 3, cap=cap)
+    return [(r.a, r.b) for r in pairs.collect()]
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_family_over_the_cap_across_a_size_band(spark, monkeypatch, block):
+    """Sizes on both sides of the band edge at 165 shingles, similarities around 0.6 to 0.7."""
+    monkeypatch.setattr(N, "HOT_BLOCK", block)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(130)]
+    texts = {i: " ".join(base + [f"x{i}y{k}" for k in range(r.randint(22, 50))]) for i in range(100)}
+    got = found(spark, texts, 64)
+    assert set(got) == brute(texts, 0.6) and len(got) == len(set(got))
+
+
+def test_smallest_cap(spark):
+    texts = {i: t for i, t in enumerate(dict.fromkeys(corpus(2).values()))}
+    assert set(found(spark, texts, 2)) == brute(texts, 0.6)
+
+
 def test_messages(spark):
     long = " ".join(f"word{k}" for k in range(80))
     rows = [
