@@ -6,6 +6,8 @@ row commits to the row before it. Verification needs only neighbours and runs in
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,10 +83,18 @@ def exposition(hist: DataFrame, by: str, name: str) -> DataFrame:
     return hist.select(F.format_string(f'{name}_bucket{{{by}="%s",le="%s"}} %d', F.col(by).cast("string"), "le", "n").alias("line"))
 
 
-def nearest_rank(value: str, share: float) -> Column:
-    """The value at the nearest rank, without interpolation: exact while a group has under a million
-    values, beyond that within a millionth of the ranks, in bounded memory."""
-    return F.percentile_approx(value, share, 1_000_000)
+def nearest_ranks(rows: DataFrame, by: str, value: str, **shares: float) -> DataFrame:
+    """``by`` and, per share, the value at the nearest rank, without interpolation and exact: values
+    are counted, and the counts summed in order within each group. Nulls do not count; a group of
+    nothing else has nulls."""
+    counted = rows.groupBy(by, value).agg(F.count(value).alias("__n"))
+    group = Window.partitionBy(by)
+    upto = counted.withColumn("__upto", F.sum("__n").over(group.orderBy(F.col(value).asc_nulls_first())))
+    total = counted.groupBy(by).agg(F.sum("__n").alias("__all")).withColumnRenamed(by, "__by")
+    ranked = upto.join(total, upto[by].eqNullSafe(F.col("__by")))
+    # the rank in decimal arithmetic: 0.95 * 20 is 19, not a little more
+    rank = lambda q: F.greatest(F.lit(1), F.ceil(F.col("__all").cast("decimal(20,0)") * F.lit(Decimal(str(q)))))
+    return ranked.groupBy(by).agg(*[F.min(F.when((F.col("__upto") >= rank(q)) & (F.col("__n") > 0), F.col(value))).alias(name) for name, q in shares.items()])
 
 
 def daily_spend(rows: DataFrame, who: str, ts: str, tokens: Column) -> DataFrame:

@@ -131,7 +131,7 @@ def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(audit.nearest_rank("value", 0.5).alias("p50"), audit.nearest_rank("value", 0.95).alias("p95"))
+    return audit.nearest_ranks(table(spark, sf, "events"), "event_type", "value", p50=0.5, p95=0.95)
 
 
 def metrics_lines(spark: SparkSession, sf: str) -> DataFrame:
