@@ -8,7 +8,7 @@ enumerated partitions follow from the threshold: a pair that is just similar eno
 no enumerated, non-empty partition with a probability of ``miss`` at most, more similar pairs
 far less; where sets are too small for that, every shingle is a signature and nothing is
 missed. Pairs that share a signature are verified on their exact shingles; before that, pairs whose 128-bit SimHash sketches are too far apart are left out, with the same
-bound. The texts of a signature that more than ``cap`` have (boilerplate, large families) are
+bound; sets with single shingles as signatures have no sketch. The texts of a signature that more than ``cap`` have (boilerplate, large families) are
 compared with each other too, in salted blocks spread over tasks, by sketches four times as long:
 they would leave too many chance pairs to the verification else. No signature is left out.
 Texts with equal words are one class.
@@ -147,10 +147,19 @@ def signatures(sets: list[np.ndarray], threshold: float, miss: float) -> tuple[n
     return np.concatenate(owner), np.concatenate(signs)
 
 
+def unsketched(sets: list[np.ndarray], threshold: float, miss: float) -> np.ndarray:
+    """Which sets are too small for the bound of the sketches: those whose shingles are the signatures."""
+    band = np.floor(np.log([max(1, len(s)) for s in sets]) / -math.log(threshold) + 1e-9).astype(int)
+    return np.array([level_plan(int(x), threshold, miss)[0] == 0 for x in band], bool)
+
+
 def near_in_block(sketch: np.ndarray, differing: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions ``i < j`` of the columns of ``sketch`` (words x texts) that differ in at most so many bits."""
+    """Positions ``i < j`` of the columns of ``sketch`` (words x texts) that differ in at most so many
+    bits, or of which one is all zeros: that stands for a set without a sketch."""
+    without = ~sketch.any(0)
     for s in range(0, sketch.shape[1] - 1, 256):
-        i, j = np.nonzero(np.bitwise_count(sketch[:, s : s + 256, None] ^ sketch[:, None, s:]).sum(0) <= differing)
+        close = np.bitwise_count(sketch[:, s : s + 256, None] ^ sketch[:, None, s:]).sum(0) <= differing
+        i, j = np.nonzero(close | without[s : s + 256, None] | without[s:] if without.any() else close)
         later = j > i
         yield i[later] + s, j[later] + s
 
@@ -245,7 +254,9 @@ def _hot_pairs(hot: DataFrame, texts: DataFrame, threshold: float, width: int, m
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for b in small(batches):
-            long = sketches(shingle_sets(b.column(1).to_pylist(), memo, width), LONG_SKETCH_WORDS)
+            sets = shingle_sets(b.column(1).to_pylist(), memo, width)
+            long = sketches(sets, LONG_SKETCH_WORDS)
+            long[unsketched(sets, threshold, miss)] = 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in long], pa.binary())], names=["id", "sketch"])
 
     def compare(group: pa.Table) -> pa.Table:
@@ -255,7 +266,7 @@ def _hot_pairs(hot: DataFrame, texts: DataFrame, threshold: float, width: int, m
         long = np.frombuffer(b"".join(group.column("sketch").take(pa.array(at)).to_pylist()), np.uint64).reshape(-1, LONG_SKETCH_WORDS).T
         found = [(np.zeros(0, np.int64),) * 2]
         for i, j in near_in_block(np.ascontiguousarray(long[:SKETCH_WORDS]), near):
-            keep = np.bitwise_count(long[:, i] ^ long[:, j]).sum(0) <= far
+            keep = (np.bitwise_count(long[:, i] ^ long[:, j]).sum(0) <= far) | ~long[:, i].any(0) | ~long[:, j].any(0)
             if both:  # pairs within one of the two blocks are compared elsewhere
                 keep &= block[i] != block[j]
             found.append((ids[i[keep]], ids[j[keep]]))
@@ -289,7 +300,9 @@ def similar_pairs(keyed: DataFrame, texts: DataFrame, threshold: float = 0.8, wi
         for b in small(batches):
             sets = shingle_sets(b.column(1).to_pylist(), memo, width)
             owner, signs = signatures(sets, threshold, miss)
-            sketch = sketches(sets)[owner].view(np.int64)
+            sketch = sketches(sets)
+            sketch[unsketched(sets, threshold, miss)] = 0
+            sketch = sketch[owner].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signs.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
                 names=["sign", "id", "s0", "s1"],

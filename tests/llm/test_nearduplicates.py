@@ -84,6 +84,30 @@ def test_smallest_cap(spark):
     assert set(found(spark, texts, 2)) == brute(texts, 0.6)
 
 
+@pytest.mark.parametrize("cap", [10**9, 64])
+def test_small_sets_are_exact(spark, cap):
+    """Two shingles inside three: of such pairs the sketches drop more than ``miss``."""
+    r = random.Random(3)
+    texts = {}
+    for k in range(6000):
+        x = [f"a{r.randrange(10**9)}" for _ in range(5)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(x[:4]), " ".join(x)
+    if cap == 64:  # one shingle that all have: the first three words
+        texts = {i: "one and same " + t for i, t in list(texts.items())[:400]}
+    assert set(found(spark, texts, cap)) == brute_sparse(texts, 0.6)
+
+
+def brute_sparse(texts, threshold):
+    """As ``brute``, but only among texts that share a shingle."""
+    s = {i: shingles(t) for i, t in texts.items()}
+    by = {}
+    for i, x in s.items():
+        for y in x:
+            by.setdefault(y, []).append(i)
+    pairs = {(a, b) for ids in by.values() for k, a in enumerate(sorted(ids)) for b in sorted(ids)[k + 1 :]}
+    return {(a, b) for a, b in pairs if len(s[a] & s[b]) >= threshold * len(s[a] | s[b])}
+
+
 def test_messages(spark):
     long = " ".join(f"word{k}" for k in range(80))
     rows = [
