@@ -1,9 +1,9 @@
 """Items that appear together: how often each pair shares a basket, and how much more than by chance.
 
-The pair table is kept in hash-bucketed persistent counts. A change of baskets is a signed
-delta: the old basket of a changed record counts -1, the new one +1, for each of its items
-and pairs. Deltas are merged into the counts, and only the scores of affected pairs need to
-be computed again. Equal baskets are counted first and emit their pairs once, with that
+The baskets are kept in a hash-bucketed persistent table. A change of baskets is a signed
+delta: the old basket of a changed record counts -1, the new one +1. Items and pairs are
+recounted from the merged baskets at each call of ``scores``: there is no table of pairs yet, so a
+changed basket costs a full recount. Pairs are pruned by counts that a later delta may change. Equal baskets are counted first and emit their pairs once, with that
 weight; items that cannot reach the wanted count or lift emit nothing.
 """
 
