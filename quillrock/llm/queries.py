@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrock.operators.deliveries import addresses, current_messages
 from quillrock.session import table
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
+#: In how many parts, by batch, the deliveries are fed to the pair table.
+FEED = 3
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,11 +20,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    from quillrock.llm.pairs import PairCounts
+    from quillrock.llm.pairs import PairTable, message_baskets
 
-    kept = current_messages(table(spark, sf, "messages").select("row_id", "message_id", "to", "cc", "batch_id"))
-    counts = PairCounts(spark, min_count=4)
-    counts.apply(kept.select(addresses("to", "cc").alias("items"), F.lit(1).alias("sign")))
+    messages = table(spark, sf, "messages").select("row_id", "message_id", "to", "cc", "batch_id")
+    counts = PairTable(spark, min_count=4)
+    for k in range(FEED):  # as a feed would bring them: a better copy may come in a later part
+        counts.upsert(message_baskets(messages.where(F.pmod(F.coalesce("batch_id", F.lit(0)), F.lit(FEED)) == k)))
     return counts.scores(3.0).select(F.col("item_a").alias("addr_a"), F.col("item_b").alias("addr_b"))
 
 
@@ -65,4 +67,22 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+_CLEAN = """lower(regexp_replace(regexp_replace(CASE WHEN regexp_extract(x, '<([^<>]*@[^<>]*)>', 1) <> '' THEN regexp_extract(x, '<([^<>]*@[^<>]*)>', 1) ELSE x END, '[<>"''\\s\\p{Z}]+', '', 'g'), '\\.{2,}', '.', 'g'))"""
+SQL: dict[str, str] = {
+    "p4_found": f"""
+WITH entries AS (
+  SELECT row_id, nullif(lower(regexp_replace(message_id, '[<>\\s\\p{{Z}}]+', '', 'g')), '') AS cid,
+         unnest(list_concat(coalesce("to", []), coalesce(cc, []), ['nobody'])) AS x FROM messages
+), clean AS (SELECT DISTINCT row_id, cid, CASE WHEN x LIKE '%@%' THEN {_CLEAN} END AS addr FROM entries),
+counted AS (SELECT row_id, cid, count(addr) AS n FROM clean GROUP BY 1, 2),
+kept AS (
+  SELECT row_id FROM counted WHERE cid IS NULL
+  UNION ALL SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY cid ORDER BY n DESC, row_id) AS k FROM counted WHERE cid IS NOT NULL) WHERE k = 1
+), item AS (SELECT row_id, addr FROM clean WHERE addr IS NOT NULL AND row_id IN (SELECT row_id FROM kept)),
+total AS (SELECT count(DISTINCT row_id) AS n FROM item),
+one AS (SELECT addr, count(*) AS n FROM item GROUP BY 1),
+two AS (SELECT a.addr AS a, b.addr AS b, count(*) AS n FROM item a JOIN item b ON a.row_id = b.row_id AND a.addr < b.addr GROUP BY 1, 2 HAVING count(*) >= 4)
+SELECT two.a AS addr_a, two.b AS addr_b FROM two JOIN one x ON x.addr = two.a JOIN one y ON y.addr = two.b, total
+WHERE two.n * total.n >= 3 * x.n * y.n
+""",
+}
