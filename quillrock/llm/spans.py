@@ -10,8 +10,11 @@ the edges of shared spans; of these, every window is compared by its own hash. T
 windows of a text are merged into the components that would be removed.
 
 Natural paragraphs cannot give exact spans (a span may cross them or lie inside one), hence
-the windows. Every grouping is a sorted stream over a hash partition, so a window that a third
-of all texts share needs no memory for its group.
+the windows. Every grouping is a sorted stream over a hash partition. Groups that many texts
+share are known beforehand from a sample of the texts: two texts of the sample with the same
+run, or the same window, prove it shared, so its rows need no group at all, and the other runs
+of a MinHash that two texts of the sample share are spread by their own hash. The sample only
+places rows; the result is the same for any sample.
 """
 
 from __future__ import annotations
@@ -24,12 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrock.llm.words import mix
-from quillrock.session import broadcast_if_bounded, persisted
+from quillrock.session import persisted
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _POS_BITS = 20
 #: Code points hashed at once; longer texts are taken in overlapping pieces.
 BLOCK = 1 << 18
+#: One text in so many is looked at for frequent groups, of at least so many texts there; at most so
+#: many groups are kept (and broadcast): those beyond hold a small part of the rows each.
+SAMPLED, FREQUENT, KEPT_GROUPS = 64, 8, 20_000
+#: A place is packed with the number of windows that begin there, one after the other.
+_MANY = 20
+_COUNT = (1 << _MANY - 1) - 1
+_KNOWN_SHARED = 1 << _MANY - 1
+_RUN_SHARED, _MINHASH_SHARED = 1 << 40, 1 << 41
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +89,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def _blocks(texts: list[str | None], span: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+def _blocks(texts: list[str | None], span: int, block: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
     """Concatenations of texts with ``(row, offset in its text, length)`` of each piece; a long text
     comes in pieces that overlap by ``span - 1``, so that each of its windows lies in one piece."""
     held: list[tuple[int, int, int]] = []
@@ -87,9 +98,9 @@ def _blocks(texts: list[str | None], span: int) -> Iterator[tuple[str, list[tupl
     for row, text in enumerate(texts):
         if text is None or len(text) < span:
             continue
-        for at in range(0, len(text) - span + 1, BLOCK - span + 1):
-            part = text[at : at + BLOCK]
-            if size and size + len(part) > BLOCK:
+        for at in range(0, len(text) - span + 1, block - span + 1):
+            part = text[at : at + block]
+            if size and size + len(part) > block:
                 yield "".join(parts), held
                 held, parts, size = [], [], 0
             held.append((row, at, len(part)))
@@ -99,12 +110,13 @@ def _blocks(texts: list[str | None], span: int) -> Iterator[tuple[str, list[tupl
         yield "".join(parts), held
 
 
-def window_runs(texts: list[str | None], span: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+def window_runs(texts: list[str | None], span: int, gram: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
     """``(row, MinHash, hash of the run, offset of the first window, distance from there to the
-    MinHash's position, number of windows)`` of all runs of windows."""
+    MinHash's position, number of windows, number with the repeats that follow)`` of all runs of
+    windows."""
     w = span - gram + 1
     low = np.uint64((1 << _POS_BITS) - 1)
-    for text, pieces in _blocks(texts, span):
+    for text, pieces in _blocks(texts, span, block):
         rolling = Rolling(codes_of(text))
         h = rolling.fixed(gram)
         key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -117,9 +129,15 @@ def window_runs(texts: list[str | None], span: int, gram: int) -> Iterator[tuple
         first = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (piece[1:] != piece[:-1])]))
         last = np.append(first[1:], len(window)) - 1
         a, b, p, k = window[first], window[last], chosen[first], piece[first]
+        head, whole, low_at, n = h[p], rolling.of(a, b + span), p - a, b - a + 1
+        # equal runs one after the other (a text that repeats itself) are one, of so many windows
+        same = (head[1:] == head[:-1]) & (whole[1:] == whole[:-1]) & (n[1:] == n[:-1]) & (low_at[1:] == low_at[:-1]) & (k[1:] == k[:-1])
+        one = np.flatnonzero(np.concatenate([[True], ~same]))
+        total = np.add.reduceat(n, one)
+        a, k = a[one], k[one]
         rows = np.array([r for r, _, _ in pieces])[k]
         offset = a - begin[k] + np.array([o for _, o, _ in pieces])[k]
-        yield rows, h[p], rolling.of(a, b + span), offset, p - a, b - a + 1
+        yield rows, head[one], whole[one], offset, low_at[one], n[one], total
 
 
 #: What a run is: to be compared window by window, shared whole, or (besides) a partner to compare with.
@@ -152,11 +170,17 @@ def _classified(runs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["doc", "at", "n", "kind"])
 
         for b in batches:
-            f = b.column(0).to_numpy(zero_copy_only=False)
+            f, extent = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             start = np.concatenate([[True], f[1:] != f[:-1]])
             alone = start & np.append(start[1:], False)
             alone[0] = False
-            ahead = pa.array(np.flatnonzero(~alone))
+            known = extent & _RUN_SHARED != 0
+            if known.any():
+                doc, at = (b.column(i).to_numpy(zero_copy_only=False)[known] for i in (3, 4))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc), pa.array(at >> _MANY), pa.array(at & _COUNT), pa.array(np.full(len(doc), WHOLE, np.int32))], names=["doc", "at", "n", "kind"]
+                )
+            ahead = pa.array(np.flatnonzero(~known & (~alone | (extent & _MINHASH_SHARED != 0))))
             for k, c, e, doc, at in zip(*(b.column(i).take(ahead).to_pylist() for i in range(5))):
                 if k != fp or (c, e) != cls:
                     if fp_multi:
@@ -165,12 +189,13 @@ def _classified(runs: DataFrame) -> DataFrame:
                         waiting += members
                     members, cls, cls_doc, cls_multi = [], (c, e), doc, False
                     if k != fp:
-                        fp, fp_doc, fp_multi, has_edges, waiting, partners = k, doc, False, False, [], []
+                        fp, fp_doc, waiting, partners = k, doc, [], []
+                        fp_multi = has_edges = bool(e & _MINHASH_SHARED)
                 if not fp_multi and doc != fp_doc:
                     fp_multi = True
                     edges(waiting)
                     waiting = []
-                own = (doc, at, e & 0xFFFF)
+                own = (doc, at >> _MANY, at & _COUNT)
                 if not cls_multi and doc != cls_doc:
                     cls_multi = True
                     out.extend((*m, WHOLE) for m in members)
@@ -197,16 +222,18 @@ def _classified(runs: DataFrame) -> DataFrame:
 
 
 def _in_two(windows: DataFrame) -> DataFrame:
-    """``doc, at`` of the windows whose hash stands in two documents."""
+    """``doc, at, n`` of the windows whose hash stands in two documents (``n`` from ``at`` on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = doc0 = None
         multi, held = False, []
         for b in batches:
             h, d, a = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            known = a & _KNOWN_SHARED != 0
+            out_d, out_a = [d[known]], [a[known]]
+            h, d, a = h[~known], d[~known], a[~known]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
             end = np.append(start[1:], len(h))
-            out_d, out_a = [], []
             for s, e in zip(start, end):
                 if h[s] != key:
                     key, doc0, multi, held = h[s], d[s], False, []
@@ -221,43 +248,123 @@ def _in_two(windows: DataFrame) -> DataFrame:
                     out_a.append(a[s:e])
                 else:
                     held.append((d[s:e], a[s:e]))
-            if out_d:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_a))], names=["doc", "at"])
+            at = np.concatenate(out_a)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_d)), pa.array(at >> _MANY), pa.array(at & _COUNT)], names=["doc", "at", "n"])
 
-    return windows.repartition("h").sortWithinPartitions("h").select("h", "doc", "at").mapInArrow(run, "doc bigint, at bigint")
+    return windows.repartition("h").sortWithinPartitions("h").select("h", "doc", "at").mapInArrow(run, "doc bigint, at bigint, n bigint")
 
 
-def shared_spans(docs: DataFrame, span: int = 300, gram: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, start, end)``: windows and runs of windows of a document, each of ``span`` characters
-    or more, that stand verbatim in another document; they may overlap."""
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.length("text") >= span).where("doc is not null")
+def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` stand in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _spread(x: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(x ^ mix(doc.astype(np.uint64) * _BASE + at.astype(np.uint64)))
+
+
+class Frequent:
+    """Runs and MinHashes that two texts of the sample share: sorted hashes, each of bounded length."""
+
+    def __init__(self, runs: list[int], minhashes: list[int]):
+        self.runs, self.minhashes = (np.sort(np.array(x, np.int64).view(np.uint64)) for x in (runs, minhashes))
+
+    def placed(self, fp: np.ndarray, cls: np.ndarray, extent: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``fp, extent`` of runs, so that those of a frequent group are spread, and marked."""
+        fp, extent = fp.copy(), extent.copy()
+        key = run_key(fp, cls, extent)
+        run, minhash = _member(key, self.runs), _member(fp, self.minhashes)
+        minhash &= ~run
+        fp[run] = _spread(fp[run], doc[run], at[run])
+        extent[run] |= _RUN_SHARED
+        fp[minhash] = mix(key[minhash])
+        extent[minhash] |= _MINHASH_SHARED
+        return fp, extent
+
+
+def run_key(fp: np.ndarray, cls: np.ndarray, extent: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(fp * _BASE + mix(cls + extent.astype(np.uint64)))
+
+
+def _runs(source: DataFrame, span: int, gram: int, frequent) -> DataFrame:
+    """``fp, cls, extent, doc, at`` of the runs of windows, placed by the broadcast ``frequent``."""
+    block = BLOCK
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for rows, fp, cls, at, lo, n in window_runs(texts, span, gram):
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            for rows, fp, cls, at, lo, n, total in window_runs(texts, span, gram, block):
+                doc, extent = ids[rows], (lo << 16) | n
+                fp, extent = frequent.value.placed(fp, cls, extent, doc, at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array((lo << 16) | n), ids.take(pa.array(rows)), pa.array(at)],
+                    [pa.array(fp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(extent), pa.array(doc), pa.array((at << _MANY) | total)],
                     names=["fp", "cls", "extent", "doc", "at"],
                 )
 
-    found = persisted(_classified(source.mapInArrow(runs, "fp bigint, cls bigint, extent bigint, doc bigint, at bigint")), "runs")
-    compared = found.where(F.col("kind") != WHOLE)
-    edges = compared.groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("edges"))
-    edges = broadcast_if_bounded(edges, compared.count())
+    return source.mapInArrow(runs, "fp bigint, cls bigint, extent bigint, doc bigint, at bigint")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, text, own in zip(*(b.column(i).to_pylist() for i in range(3))):
-                at = np.unique(np.concatenate([np.arange(e["at"], e["at"] + e["n"]) for e in own]))
-                lo, hi = int(at[0]), int(at[-1]) + span
-                h = Rolling(codes_of(text[lo:hi])).of(at - lo, at - lo + span)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at)], names=["h", "doc", "at"])
-
-    each = source.join(edges, "doc").select("doc", "text", "edges").mapInArrow(windows, "h bigint, doc bigint, at bigint")
-    single = _in_two(each).select("doc", F.col("at").alias("start"), (F.col("at") + span).alias("end"))
-    whole = found.where(F.col("kind") == WHOLE).select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + span).alias("end"))
-    return whole.unionByName(single)
+
+def _sample(source: DataFrame) -> DataFrame:
+    return source.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0)
+
+
+def _most(groups: DataFrame, *keys: str) -> DataFrame:
+    """The largest groups of the sample that stand in two texts."""
+    two = (F.col("lo.doc") < F.col("hi.doc")) & (F.col("n") >= FREQUENT)
+    return groups.where(two).orderBy(F.desc("n"), *keys).limit(KEPT_GROUPS)
+
+
+def shared_spans(docs: DataFrame, span: int = 300, gram: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, start, end)``: windows and runs of windows of a document, each of ``span`` characters
+    or more, that stand verbatim in another document; they may overlap."""
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.length("text") >= span).where("doc is not null")
+    ends = (F.min(F.struct("doc", "at")).alias("lo"), F.max(F.struct("doc", "at")).alias("hi"))
+    none = spark.sparkContext.broadcast(Frequent([], []))
+    groups = persisted(_runs(_sample(source), span, gram, none).groupBy("fp", "cls", "extent").agg(*ends, F.count("*").alias("n")), "samplegroups")
+    shared = _most(groups, "fp", "cls", "extent").select("fp", "cls", "extent", "lo.*", F.col("hi.doc").alias("doc2"), F.col("hi.at").alias("at2")).collect()
+    minhashes = groups.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    minhashes = sorted({r[0] for r in shared} | {r[0] for r in _most(minhashes, "fp").select("fp").collect()})
+    column = lambda i: np.array([r[i] for r in shared], np.int64)
+    runs = run_key(column(0).view(np.uint64), column(1).view(np.uint64), column(2)).view(np.int64).tolist()
+    frequent = spark.sparkContext.broadcast(Frequent(runs, minhashes))
+    # of a run that is known to be shared, two texts of the sample are compared with the edges
+    sides = [(r[d], r[a] >> _MANY, r[a] & _COUNT, PARTNER) for r in shared for d, a in ((3, 4), (5, 6))]
+    found = _classified(_runs(source, span, gram, frequent))
+    found = persisted(found.unionByName(spark.createDataFrame(sides, "doc bigint, at bigint, n bigint, kind int")), "runs")
+    edges = found.where(F.col("kind") != WHOLE).groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("edges"))
+
+    def windows_of(known):
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for doc, text, own in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    at = np.unique(np.concatenate([np.arange(e["at"], e["at"] + e["n"]) for e in own]))
+                    lo, hi = int(at[0]), int(at[-1]) + span
+                    h = Rolling(codes_of(text[lo:hi])).of(at - lo, at - lo + span)
+                    # equal windows one after the other are one row
+                    one = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1) | (at[1:] % _COUNT == 0)]))
+                    n = np.diff(np.append(one, len(at)))
+                    h, at = h[one], at[one]
+                    hot = _member(h, known.value)
+                    place = (at << _MANY) | n | np.where(hot, _KNOWN_SHARED, 0)
+                    h = np.where(hot, _spread(h, np.full(len(h), doc), at), h)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(place)], names=["h", "doc", "at"])
+
+        return windows
+
+    schema = "h bigint, doc bigint, at bigint"
+    nothing = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    some = _sample(source).join(_sample(edges), "doc").select("doc", "text", "edges").mapInArrow(windows_of(nothing), schema)
+    known = [r[0] for r in _most(some.groupBy("h").agg(*ends, F.count("*").alias("n")), "h").select("h").collect()]
+    known = spark.sparkContext.broadcast(np.sort(np.array(known, np.int64).view(np.uint64)))
+    each = source.join(edges, "doc").select("doc", "text", "edges").mapInArrow(windows_of(known), schema)
+    spans = lambda df: df.select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + span).alias("end"))
+    return spans(found.where(F.col("kind") == WHOLE)).unionByName(spans(_in_two(each)))
 
 
 def shared_characters(docs: DataFrame, span: int = 300, gram: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,9 +22,13 @@ def brute(docs, span):
     return out
 
 
-@pytest.mark.parametrize("seed, block", [(1, 1 << 18), (2, 64), (3, 100)])
-def test_against_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed, block, sampled", [(1, 1 << 18, 64), (2, 64, 1), (3, 100, 2), (4, 1 << 18, 1), (5, 64, 3)])
+def test_against_brute_force(spark, monkeypatch, seed, block, sampled):
+    """Whatever is known beforehand of frequent groups, the result is that of brute force."""
     monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "SAMPLED", sampled)
+    monkeypatch.setattr(S, "FREQUENT", 2)
+    monkeypatch.setattr(S, "KEPT_GROUPS", 30)
     r = random.Random(seed)
     alphabet = "ab" if seed == 3 else "abcdefgh 中\U0001f600"
     pieces = ["".join(r.choices(alphabet, k=r.randint(10, 90))) for _ in range(8)]
@@ -45,3 +49,24 @@ def test_repeated_rows_and_empty(spark):
     assert S.shared_characters(df.limit(0)).count() == 0
     df = spark.createDataFrame([(1, t), (2, t)], "doc_id bigint, text string")
     assert dict(S.shared_characters(df).collect()) == {1: 400, 2: 400}
+
+
+def test_a_span_that_a_third_of_the_texts_share(spark, monkeypatch):
+    """Its rows are known from the sample and spread; a few texts share other windows with it."""
+    monkeypatch.setattr(S, "SAMPLED", 4)
+    r = random.Random(11)
+    stock = "".join(r.choices("abcdefgh ", k=120))
+    own = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    docs = [(k, own(20 + k % 7) + stock + own(15)) for k in range(200)] + [(200 + k, own(60)) for k in range(380)]
+    docs += [(600, own(9) + stock[7:50] + own(9)), (601, stock[60:95]), (602, stock[60:88])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert dict(S.shared_characters(df, 30, 8).collect()) == brute(docs, 30)
+
+
+def test_a_text_that_repeats_itself_is_few_rows():
+    import numpy as np
+
+    for text in ("a" * 50_000, "ab" * 20_000):
+        runs = [x for x in S.window_runs([text], 300, 50)]
+        assert sum(len(x[0]) for x in runs) < 10
+        assert sum(int(np.sum(x[6])) for x in runs) == len(text) - 299
