@@ -11,6 +11,9 @@ from quillrock.operators.timestamps import normalise_timestamps
 from quillrock.queries import guarding, messages, permissions, searching
 from quillrock.session import table
 
+#: In how many parts, by batch, the deliveries are upserted.
+FEED = 3
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,7 +22,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return superseded_deliveries(table(spark, sf, "messages"))
+    return superseded_deliveries(table(spark, sf, "messages"), FEED)
 
 
 P3_SQL = r"""

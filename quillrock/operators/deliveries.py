@@ -1,11 +1,11 @@
 """Messages delivered more than once: exactly one copy of each stays.
 
-Deliveries are upserted into a hash-bucketed table, sorted by identifier in each bucket. An
+Deliveries are upserted into hash-bucketed storage, sorted by identifier in each bucket. An
 upsert first collapses its own batch (a partial aggregate runs before the shuffle, so an
-identifier that holds a third of all rows costs one row per map task), then appends one
-sorted run per bucket. Compaction reads bucket by bucket, without a shuffle, and collapses
-equal identifiers of all runs. The collapse is a maximum, so repeating a batch or running
-batches in another order changes nothing.
+identifier that holds a third of all rows costs one row per map task) and is written as one
+sorted run per bucket. Compaction merges sorted runs bucket by bucket, without a shuffle, so
+that equal identifiers collapse to one, and writes the result as a new run. The collapse is a
+maximum, so repeating a batch or running batches in another order changes nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrock.session import scratch_path
+from quillrock.session import append_bucketed, scratch_path
 
 
 def canonical_id(c: Column | str) -> Column:
@@ -43,34 +43,58 @@ class DeliveryStore:
     """The bucketed, sorted table of the best delivery per identifier.
 
     A run has ``cid, n_addr, neg_id``; better is the greater ``(n_addr, neg_id)``, that is most
-    addresses and then the smallest row id. Data lie in the shared folder.
+    addresses and then the smallest row id. Runs are tables of equal buckets, each bucket sorted
+    by identifier. When ``fan_in`` runs have come, or on demand, compaction merges them pairwise:
+    a bucket of one run is merged with the same bucket of the other (no row is shuffled), equal
+    identifiers collapse, and the merged run is written in their place. Data lie in the shared
+    folder; a run's files are never changed, so a compaction that fails leaves the old runs.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = 4):
+        self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"deliveries_{uuid.uuid4().hex}"
-        self.path = scratch_path(spark, "deliveries")
-        self.runs = 0
+        self.runs: list[str] = []
 
     @staticmethod
     def _best(df: DataFrame) -> DataFrame:
         top = F.max(F.struct("n_addr", "neg_id")).alias("b")
         return df.groupBy("cid").agg(top).select("cid", "b.n_addr", "b.neg_id")
 
+    def _write(self, run: DataFrame) -> str:
+        name = f"deliveries_{uuid.uuid4().hex}"
+        append_bucketed(run, name, scratch_path(self.spark, "deliveries"), ["cid"], self.buckets, True)
+        return name
+
     def upsert(self, batch: DataFrame) -> None:
         """Merge a batch ``(cid, n_addr, neg_id)``; rows without identifier are not stored."""
-        run = self._best(batch.where(F.col("cid").isNotNull())).repartition(self.buckets, "cid")
-        w = run.write.bucketBy(self.buckets, "cid").sortBy("cid").option("path", self.path).mode("append" if self.runs else "overwrite")
-        w.saveAsTable(self.name)
-        self.runs += 1
+        best = self._best(batch.where(F.col("cid").isNotNull()))
+        self.runs.append(self._write(best.repartition(self.buckets, "cid")))
+        if len(self.runs) >= self.fan_in:
+            self.compact()
+
+    @staticmethod
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """The merge of two sorted runs of distinct identifiers: equal ones collapse to the better."""
+        pick = lambda x: F.struct(F.col(f"{x}.n_addr").alias("n_addr"), F.col(f"{x}.neg_id").alias("neg_id"))
+        j = a.alias("a").join(b.alias("b").hint("merge"), F.col("a.cid") == F.col("b.cid"), "full_outer")
+        best = F.greatest(F.when(F.col("a.cid").isNotNull(), pick("a")), F.when(F.col("b.cid").isNotNull(), pick("b")))
+        return j.select(F.coalesce("a.cid", "b.cid").alias("cid"), best.alias("best")).select("cid", "best.n_addr", "best.neg_id")
+
+    def compact(self) -> None:
+        """Merge all runs into one."""
+        while len(self.runs) > 1:
+            old, runs = self.runs, [self.spark.table(r) for r in self.runs]
+            new = [self._write(self.merged(runs[i], runs[i + 1])) for i in range(0, len(runs) - 1, 2)]
+            self.runs = new + old[len(new) * 2 :]
+            for name in old[: len(new) * 2]:
+                self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 
     def compacted(self) -> DataFrame:
-        """One row per identifier over all runs; equal identifiers share a bucket, so nothing is shuffled."""
+        """One row per identifier over all runs."""
+        self.compact()
         if not self.runs:
             return self.spark.createDataFrame([], "cid string, n_addr int, neg_id bigint")
-        self.spark.catalog.refreshTable(self.name)
-        return self._best(self.spark.table(self.name))
+        return self.spark.table(self.runs[0])
 
 
 def keyed_deliveries(messages: DataFrame) -> DataFrame:

@@ -41,9 +41,21 @@ def shared_root(spark: SparkSession) -> str:
 _LOCAL_ROOT: str | None = None
 
 
+def _application_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/quillrock-{spark.sparkContext.applicationId}"
+
+
+_TABLES: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; nothing is ever written to it twice."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder; nothing is ever written to it
+    twice. All of them go when the driver ends (see ``release``)."""
+    app = spark.sparkContext.applicationId
+    if app not in _TABLES:
+        _TABLES[app] = []
+        atexit.register(_release_at_exit, app)
+    return f"{_application_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def persisted(df: DataFrame, label: str) -> DataFrame:
@@ -55,6 +67,45 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def append_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int, first: bool) -> None:
+    """Append ``df`` as one sorted run to a hash-bucketed table of this application."""
+    app = df.sparkSession.sparkContext.applicationId
+    if first:
+        _TABLES.setdefault(app, []).append(name)
+    w = df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path)
+    w.mode("overwrite" if first else "append").saveAsTable(name)
+
+
+def bucketed(df: DataFrame, label: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` hash-bucketed and sorted by ``key`` and read it back: joins and groupings on
+    ``key`` need no shuffle of it. What is shuffled by ``key`` already is written as it lies."""
+    spark = df.sparkSession
+    name, path = f"{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
+    append_bucketed(df, name, path, [key], buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), True)
+    return spark.table(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the tables and remove the files that this application wrote to the shared folder; frames
+    that read them can no longer be used."""
+    sc = spark.sparkContext
+    for name in _TABLES.get(sc.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    if sc.applicationId in _TABLES:
+        _TABLES[sc.applicationId] = []
+        path = sc._jvm.org.apache.hadoop.fs.Path(_application_root(spark))
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_at_exit(app: str) -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext.applicationId == app:
+            release(spark)
+    except Exception:  # the session ended before the driver did: nothing can be reached any more
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers of a cluster (local sessions share
     the driver's path already)."""

@@ -43,3 +43,31 @@ def test_one_identifier_for_all_and_empty(spark):
     assert superseded_deliveries(m).count() == 398
     assert superseded_deliveries(rows(spark, [])).count() == 0
     assert DeliveryStore(spark).compacted().count() == 0
+
+
+def test_runs_are_merged_bucket_by_bucket(spark):
+    k = keyed_deliveries(rows(spark, [(i, f"m{i % 23}", ["a@x"] * (i % 2), None) for i in range(1, 90)]))
+    s = DeliveryStore(spark, 3, fan_in=3)
+    s.upsert(k.where("neg_id % 2 = 0"))
+    s.upsert(k.where("neg_id % 2 <> 0"))
+    assert len(s.runs) == 2
+    plan = s.merged(*[spark.table(r) for r in s.runs])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    s.upsert(k.where("neg_id > -5"))
+    assert len(s.runs) == 1
+    whole = DeliveryStore(spark, 3)
+    whole.upsert(k)
+    assert sorted(s.compacted().collect()) == sorted(whole.compacted().collect())
+
+
+def test_release_removes_what_was_written(spark):
+    import os
+
+    from quillrock.session import _application_root, persisted, release
+
+    persisted(spark.range(3).toDF("x"), "some").count()
+    root = _application_root(spark).removeprefix("file://")
+    assert os.listdir(root)
+    release(spark)
+    assert not os.path.exists(root)
+    assert persisted(spark.range(3).toDF("x"), "some").count() == 3
