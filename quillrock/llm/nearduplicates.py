@@ -7,11 +7,18 @@ sets differ in few elements, hence agree on whole partitions. ``n1`` and the num
 enumerated partitions follow from the threshold: a pair that is just similar enough agrees on
 no enumerated, non-empty partition with a probability of ``miss`` at most, more similar pairs
 far less; where sets are too small for that, every shingle is a signature and nothing is
-missed. Pairs that share a signature are verified on their exact shingles; before that, pairs whose 128-bit SimHash sketches are too far apart are left out, with the same
-bound; sets with single shingles as signatures have no sketch. The texts of a signature that more than ``cap`` have (boilerplate, large families) are
-compared with each other too, in salted blocks spread over tasks, by sketches four times as long:
-they would leave too many chance pairs to the verification else. No signature is left out.
-Texts with equal words are one class.
+missed. Subsets of two and more partitions are not enumerated: at a similarity of 0.6 two sets of
+150 shingles differ in 75, and the enumeration that is certain to find them has over a thousand
+signatures a set (see the README).
+
+The texts are shuffled once, to be bucketed by id with their SimHash sketches; signatures are
+made of the buckets, and whatever is asked of a text later (sketch, shingles) is joined there.
+Pairs that share a signature are left out where their 128-bit sketches, and then their 512-bit
+sketches, are too far apart, with the same bound; sets with single shingles as signatures have
+no sketch. The rest are verified on their exact shingles. The texts of a signature that more
+than ``cap`` have (boilerplate, large families) are compared in salted blocks spread over tasks,
+by both sketches. No signature is left out. Texts with equal words are one class: ``similar_pairs``
+gives the pairs of representatives and the membership.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrock.llm.words import WordHashes, mix, words
-from quillrock.session import broadcast_if_bounded, persisted
+from quillrock.session import bucketed, persisted
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -74,6 +81,8 @@ def shingle_sets(texts: list[str | None], memo: WordHashes, width: int = 3) -> l
 SKETCH_WORDS, LONG_SKETCH_WORDS = 2, 8
 #: Texts of a block of a signature that more than ``cap`` have.
 HOT_BLOCK = 4096
+#: Members of a class of equal texts whose pairs are listed in one place.
+CLASS_BLOCK = 512
 
 
 def sketches(sets: list[np.ndarray], words: int = SKETCH_WORDS) -> np.ndarray:
@@ -226,38 +235,13 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
-def _hashed(texts: DataFrame, width: int) -> DataFrame:
-    """``id, shingles binary`` (sorted 64-bit hashes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for b in small(batches):
-            packed = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), memo, width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["id", "shingles"])
-
-    return texts.select("id", "text").mapInArrow(run, "id bigint, shingles binary")
-
-
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of the given ids (each once); the ids are broadcast while few, else both are shuffled."""
-    return texts.join(broadcast_if_bounded(ids, ids.count(), 1_000_000), "id", "left_semi")
-
-
-def _hot_pairs(hot: DataFrame, texts: DataFrame, threshold: float, width: int, miss: float) -> DataFrame:
+def _hot_pairs(hot: DataFrame, reps: DataFrame, tests: tuple[int, int]) -> DataFrame:
     """``a, b`` (a < b) of the texts of ``hot`` (``key, id``) that share a key, by their long sketches.
 
     The texts of a key are dealt into blocks of about ``HOT_BLOCK``, and every two blocks are
-    compared in one place. The two tests, of the short and the long sketch, share ``miss``.
+    compared in one place.
     """
-    near, far = (most_differing(threshold, miss / 2, w) for w in (SKETCH_WORDS, LONG_SKETCH_WORDS))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for b in small(batches):
-            sets = shingle_sets(b.column(1).to_pylist(), memo, width)
-            long = sketches(sets, LONG_SKETCH_WORDS)
-            long[unsketched(sets, threshold, miss)] = 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in long], pa.binary())], names=["id", "sketch"])
+    near, far = tests
 
     def compare(group: pa.Table) -> pa.Table:
         ids, at = np.unique(group.column("id").to_numpy(), return_index=True)
@@ -272,12 +256,10 @@ def _hot_pairs(hot: DataFrame, texts: DataFrame, threshold: float, width: int, m
             found.append((ids[i[keep]], ids[j[keep]]))
         return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
 
-    used = persisted(hot.select("id").distinct(), "hotids")
-    long = _only(texts, used).select("id", "text").mapInArrow(sketch, "id bigint, sketch binary")
     blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / HOT_BLOCK).alias("blocks"))
     dealt = hot.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    placed = dealt.join(long, "id").select("key", "id", "sketch", "block", other.alias("other"))
+    placed = dealt.hint("merge").join(reps.select("id", "sketch"), "id").select("key", "id", "sketch", "block", other.alias("other"))
     placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "sketch", "block")
     return placed.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -292,51 +274,85 @@ def similar_pairs(keyed: DataFrame, texts: DataFrame, threshold: float = 0.8, wi
     """
     rep = keyed.groupBy("k1", "k2", "k3").agg(F.min("id").alias("class"))
     classes = persisted(keyed.join(rep, ["k1", "k2", "k3"]).select("id", "class"), "classes")
-    reps = _only(texts, classes.where("id = class").select("id").distinct())
-    differing = most_differing(threshold, miss)
+    near, far = tests = tuple(most_differing(threshold, miss / 2, w) for w in (SKETCH_WORDS, LONG_SKETCH_WORDS))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for b in small(batches):
             sets = shingle_sets(b.column(1).to_pylist(), memo, width)
-            owner, signs = signatures(sets, threshold, miss)
-            sketch = sketches(sets)
-            sketch[unsketched(sets, threshold, miss)] = 0
-            sketch = sketch[owner].view(np.int64)
+            long = sketches(sets, LONG_SKETCH_WORDS)
+            long[unsketched(sets, threshold, miss)] = 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in long], pa.binary())], names=["id", "text", "sketch"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for b in small(batches):
+            owner, signs = signatures(shingle_sets(b.column(1).to_pylist(), memo, width), threshold, miss)
+            long = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, LONG_SKETCH_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signs.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
+                [pa.array(signs.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(long[owner, 0]), pa.array(long[owner, 1])],
                 names=["sign", "id", "s0", "s1"],
             )
 
-    signed = reps.select("id", "text").mapInArrow(sign, "sign bigint, id bigint, s0 bigint, s1 bigint")
-    found = persisted(bucket_pairs(signed, "sign", cap, differing), "candidates")
+    # the one shuffle of texts: later joins find the representatives in the buckets of their ids
+    wanted = classes.where("id = class").select("id").distinct()
+    reps = texts.select("id", "text").join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    reps = bucketed(reps.mapInArrow(sketch, "id bigint, text string, sketch binary"), "representatives", "id")
+    signed = reps.select("id", "text", "sketch").mapInArrow(sign, "sign bigint, id bigint, s0 bigint, s1 bigint")
+    found = persisted(bucket_pairs(signed, "sign", cap, near), "candidates")
     candidates = found.where("b is not null").select("a", "b").distinct()
+    candidates = _near_by_sketch(candidates, reps, far)
     hot = found.where("b is null").select("key", F.col("a").alias("id"))
     if not hot.isEmpty():
-        candidates = candidates.unionByName(_hot_pairs(hot, texts, threshold, width, miss)).distinct()
-    return verified(candidates, texts, threshold, width), classes
+        candidates = candidates.unionByName(_hot_pairs(hot, reps, tests)).distinct()
+    return verified(candidates, reps, threshold, width), classes
 
 
-def verified(candidates: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """``a, b, similarity`` of the candidates whose exact shingle sets are similar enough."""
-    candidates = persisted(candidates, "pairs")
-    used = persisted(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "used")
-    sets = persisted(_hashed(_only(texts, used), width), "sets")
+def _near_by_sketch(candidates: DataFrame, reps: DataFrame, far: int) -> DataFrame:
+    """The candidates whose long sketches differ in at most ``far`` bits, or of which one has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both / max(1, len(x) + len(y) - both))
-            sim = np.array(out)
-            keep = pa.array(np.flatnonzero(sim >= threshold - 1e-12))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(sim).take(keep)], names=["a", "b", "similarity"])
-
-    j = candidates.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
-    )
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, LONG_SKETCH_WORDS) for i in (2, 3))
+            near = (np.bitwise_count(x ^ y).sum(1) <= far) | ~x.any(1) | ~y.any(1)
+            keep = pa.array(np.flatnonzero(near))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+
+    side = lambda i, t: reps.select(F.col("id").alias(i), F.col("sketch").alias(t))
+    j = candidates.hint("merge").join(side("a", "x"), "a").hint("merge").join(side("b", "y"), "b")
+    return j.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(candidates: DataFrame, reps: DataFrame, threshold: float, width: int) -> DataFrame:
+    """``a, b, similarity`` of the candidates whose exact shingle sets are similar enough.
+
+    ``reps`` (``id, text``) is bucketed by id, so only the candidates move: to the text of one
+    side, and with it to that of the other.
+    """
+    candidates = persisted(candidates, "pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for b in small(batches, 2_000):
+            ids, at, texts = [], {}, []
+            for i, t in ((0, 2), (1, 3)):
+                ids.append(b.column(i).to_pylist())
+                for x, text in zip(ids[-1], b.column(t).to_pylist()):
+                    if x not in at:
+                        at[x] = len(texts)
+                        texts.append(text)
+            sets = shingle_sets(texts, memo, width)
+            out = np.zeros(b.num_rows)
+            for k, (p, q) in enumerate(zip(*ids)):
+                x, y = sets[at[p]], sets[at[q]]
+                if threshold * max(len(x), len(y)) <= min(len(x), len(y)):
+                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                    out[k] = both / max(1, len(x) + len(y) - both)
+            keep = pa.array(np.flatnonzero(out >= threshold - 1e-12))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(out).take(keep)], names=["a", "b", "similarity"])
+
+    side = lambda i, t: reps.select(F.col("id").alias(i), F.col("text").alias(t))
+    j = candidates.hint("merge").join(side("a", "x"), "a").hint("merge").join(side("b", "y"), "b")
     return j.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
@@ -374,9 +390,12 @@ def similar_messages(messages: DataFrame, threshold: float = 0.6, width: int = 3
     one = persisted(every.groupBy("cid").agg(F.min("id").alias("id"), first).select("cid", "id", "k.*"), "messageids")
     pairs, classes = similar_pairs(one, rows.select(F.col("row_id").alias("id"), "text"), threshold, width)
     named = classes.join(one.select("id", "cid", "n_words"), "id").select("class", "cid", "n_words")
-    many = named.where(F.col("n_words") >= width).groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    within = named.join(many, "class").select("class", "cid")
+    # members of a class are dealt into blocks; every two blocks meet in one place
+    many = named.where(F.col("n_words") >= width).groupBy("class").agg(F.ceil(F.count("*") / CLASS_BLOCK).alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    dealt = named.join(many, "class").select("class", "cid", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("own"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1).alias("all"))
+    inside = dealt.select("class", F.col("cid").alias("x"), F.col("own").alias("i"), F.explode("all").alias("j")).join(
+        dealt.select("class", F.col("cid").alias("y"), F.explode("all").alias("i"), F.col("own").alias("j")), ["class", "i", "j"]
+    ).where("x < y").select("x", "y")
     name = lambda c, x: named.select(F.col("class").alias(c), F.col("cid").alias(x))
     across = pairs.join(name("a", "x"), "a").join(name("b", "y"), "b").select("x", "y")
-    inside = within.select("class", F.col("cid").alias("x")).join(within.select("class", F.col("cid").alias("y")), "class").where("x < y").select("x", "y")
     return across.unionByName(inside).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrock.session import persisted, scratch_path
+from quillrock.session import append_bucketed, persisted, scratch_path
 
 #: Baskets with more items are split into blocks of so many, and their block pairs spread over tasks.
 BLOCK = 256
@@ -55,8 +55,7 @@ class _Runs:
 
     def append(self, df: DataFrame) -> None:
         placed = df.withColumn("run", F.lit(self.count)).repartition(self.buckets, *self.keys)
-        w = placed.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", self.path)
-        w.mode("append" if self.count else "overwrite").saveAsTable(self.name)
+        append_bucketed(placed, self.name, self.path, self.keys, self.buckets, not self.count)
         self.count += 1
 
     def rows(self, since: int = 0) -> DataFrame:

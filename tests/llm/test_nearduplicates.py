@@ -125,3 +125,31 @@ def test_plans():
         n1, g = level_plan(level, 0.6, 1e-4)
         assert (n1 == 0 and g == 0) or 0 < g <= n1
     assert 20 < most_differing(0.6, 1e-4) < 64
+
+
+def test_boilerplate_family_of_ten_thousand(spark):
+    """All share 60 words of boilerplate, of sizes over several bands; planted are edits of the rest that
+    leave a similarity of 0.6 to 0.7. Recall is asked for as promised, and nothing else is found."""
+    r = random.Random(13)
+    stock = " ".join(f"s{k}" for k in range(60))
+    texts, planted = {}, set()
+    for i in range(0, 10_000, 2):
+        own = [f"x{i}y{k}" for k in range(r.randint(60, 200))]
+        texts[i] = stock + " " + " ".join(own)
+        if i % 25 == 0:
+            texts[i + 1] = stock + " " + " ".join(own[: -int(len(own) * 0.4)])
+            planted.add((i, i + 1))
+        else:
+            texts[i + 1] = stock + " " + " ".join(f"z{i}y{k}" for k in range(r.randint(60, 200)))
+    planted = {(a, b) for a, b in planted if len(shingles(texts[a]) & shingles(texts[b])) >= 0.6 * len(shingles(texts[a]) | shingles(texts[b]))}
+    got = set(found(spark, texts, 64))
+    assert len(planted) > 150 and got <= planted
+    assert len(got) >= 0.99 * len(planted)
+
+
+def test_a_class_of_more_members_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(N, "CLASS_BLOCK", 4)
+    m = spark.createDataFrame([(i, f"m{i:02}@x", None, "one two three four" if i % 3 else f"w{i} b c d e") for i in range(30)], "row_id bigint, message_id string, subject string, body string")
+    got = sorted(tuple(r) for r in similar_messages(m).collect())
+    ids = [f"m{i:02}@x" for i in range(30) if i % 3]
+    assert got == [(x, y) for x in ids for y in ids if x < y]
