@@ -8,8 +8,8 @@ enumerated partitions follow from the threshold: a pair that is just similar eno
 no enumerated, non-empty partition with a probability of ``miss`` at most, more similar pairs
 far less; where sets are too small for that, every shingle is a signature and nothing is
 missed. Subsets of two and more partitions are not enumerated: at a similarity of 0.6 two sets of
-150 shingles differ in 75, and the enumeration that is certain to find them has over a thousand
-signatures a set (see the README).
+150 shingles differ in 76 elements, and the enumeration that is certain to find them takes at
+least 154 signatures a level, of one or two shingles each (see the README).
 
 The texts are shuffled once, to be bucketed by id with their SimHash sketches; signatures are
 made of the buckets, and whatever is asked of a text later (sketch, shingles) is joined there.

@@ -3,12 +3,15 @@
 Vectors are made unit length and projected to a few dimensions by a Gaussian matrix (a
 2-stable projection: the projected difference of two vectors at distance ``d`` is normal with
 deviation ``d`` in every dimension). A kd-tree over the projected space gives each vector a
-leaf; a leaf's vectors are its projected neighbours, and true similarities are computed
-only there, as one matrix product. Then comes the stopping test: a missed neighbour nearer
-than the k-th best so far would have to lie outside the leaf's box, whose probability follows
-from the distances to its faces (a chi-square test of one degree of freedom a face). While
-the product of these probabilities over the rounds exceeds ``miss``, the vector goes on as a
-query in another projection and tree; vectors that are done stay as data only.
+leaf, and a leaf is one task's work: there the tree goes on down to boxes of a few hundred
+vectors, and every vector visits boxes from its own outwards, computing true similarities with
+their vectors. Then comes the stopping test: a vector nearer than the k-th best so far can only be
+missed if it projects beyond the faces that part it from an unvisited box, or from the rest of
+the tree, whose probability follows from the distances to these faces (a chi-square test of one
+degree of freedom a face). Boxes that pass the test stay unvisited; while the product of the
+probabilities left over exceeds ``miss``, the vector goes on as a query in another projection
+and tree; vectors that are done stay as data only. The number of trees does not depend on the
+number of vectors.
 """
 
 from __future__ import annotations
@@ -21,10 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows the trees are fitted on, at most; all rows are indexed.
+#: Rows the trees are fitted on, at most twice as many; all rows are indexed.
 FIT_ROWS = 16_384
-LEAF_ROWS = 3_000
+#: Rows of a leaf and of a box in it, on average.
+LEAF_ROWS, BOX_ROWS = 32_768, 512
+#: A node with fewer sampled rows is cut where its next ancestor with so many would be.
+NODE_SAMPLE = 16
 PROJECTED = 16
+ROUNDS = 8
+#: Boxes that hold a missed neighbour with a smaller probability are not visited.
+UNLIKELY = 0.03
+#: Queries whose visits are listed at once.
+QUERIES = 8_192
 #: Copies of one vector that are searched for: with k + 1 of them, the copies are the answer.
 _GRID = 1e5
 #: Between rounds a vector travels as 16-bit fixed point: an error of 1e-5 in a similarity.
@@ -64,103 +75,192 @@ def usable(dim: int, embedding: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """A kd-tree with a median split of the widest dimension, over one Gaussian projection."""
+    """A kd-tree with a median split of the widest dimension, over one Gaussian projection.
+
+    Its depth follows from the wanted number of leaves alone: below nodes that hold too little of
+    the sample, the cuts of other dimensions are those of the next ancestor that holds enough.
+    """
 
     def __init__(self, sample: np.ndarray, leaves: int, seed: int):
         dim = sample.shape[1]
         self.matrix = np.random.default_rng(seed).normal(size=(dim, PROJECTED)).astype(np.float32)
         p = sample @ self.matrix
-        self.nodes: list[tuple[int, float, int, int]] = []  # dimension, cut, left, right; a leaf has dimension -1
-        boxes: list[tuple[np.ndarray, np.ndarray]] = []
         depth = max(0, math.ceil(math.log2(max(1, leaves))))
-        wide = np.full(PROJECTED, np.inf)
-        self.nodes.append((-1, 0.0, 0, 0))
-        stack = [(0, np.arange(len(p)), depth, -wide, wide)]
+        dims, cuts, below, parent = [-1], [0.0], [0], [-1]  # of a leaf the dimension is -1; its sides are below, below + 1
+        every = np.arange(len(p))
+        stack = [(0, every, every, 0, depth)]
         while stack:
-            node, rows, left, lo, hi = stack.pop()
-            dims = np.argsort(-p[rows].var(0)) if left and len(rows) > 1 else []
-            for d in dims:
-                cut = float(np.median(p[rows, d]))
-                below = p[rows, d] < cut
-                if below.any() and not below.all():
-                    a = len(self.nodes)
-                    self.nodes += [(-1, 0.0, 0, 0), (-1, 0.0, 0, 0)]
-                    self.nodes[node] = (int(d), cut, a, a + 1)
-                    hi_a, lo_b = hi.copy(), lo.copy()
-                    hi_a[d] = lo_b[d] = cut
-                    stack += [(a, rows[below], left - 1, lo, hi_a), (a + 1, rows[~below], left - 1, lo_b, hi)]
-                    break
-            else:
-                self.nodes[node] = (-1, 0.0, len(boxes), 0)
-                boxes.append((lo, hi))
-        self.lo, self.hi = np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes])
+            node, rows, by, used, left = stack.pop()
+            if len(rows) >= NODE_SAMPLE:
+                by, used = rows, 0
+            for d in np.argsort(-p[by].var(0)) if left and len(by) > 1 else ():
+                cut = float(np.median(p[by, d]))
+                if used >> int(d) & 1 or not (p[by, d] < cut).any():
+                    continue
+                low = p[rows, d] < cut
+                dims[node], cuts[node], below[node] = int(d), cut, len(dims)
+                for part in (rows[low], rows[~low]):
+                    stack.append((len(dims), part, by, used | 1 << int(d), left - 1))
+                    dims.append(-1)
+                    cuts.append(0.0)
+                    below.append(0)
+                    parent.append(node)
+                break
+        self.dims, self.cuts = np.array(dims, np.int8), np.array(cuts, np.float32)
+        self.below, self.parent = np.array(below, np.int32), np.array(parent, np.int32)
+        self.depth = depth
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
-        p = x @ self.matrix
-        out = np.zeros(len(x), np.int32)
-        stack = [(0, np.arange(len(x)))]
-        while stack:
-            node, rows = stack.pop()
-            d, cut, a, b = self.nodes[node]
-            if d < 0:
-                out[rows] = a
-            elif len(rows):
-                below = p[rows, d] < cut
-                stack += [(a, rows[below]), (b, rows[~below])]
-        return out
-
-    def outside(self, x: np.ndarray, leaf: int, distance: np.ndarray) -> np.ndarray:
-        """The probability that a point at ``distance`` projects outside the leaf."""
-        p = (x @ self.matrix).astype(np.float64)
+        p, at, row = x @ self.matrix, np.zeros(len(x), np.int32), np.arange(len(x))
+        for _ in range(self.depth):
+            d = self.dims[at]
+            down = self.below[at] + (p[row, d] >= self.cuts[at])
+            at = np.where(d < 0, at, down).astype(np.int32)
+        return at
+
+    def box(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = np.full(PROJECTED, -np.inf), np.full(PROJECTED, np.inf)
+        while leaf:
+            up = self.parent[leaf]
+            d, cut = self.dims[up], self.cuts[up]
+            if leaf == self.below[up]:
+                hi[d] = min(hi[d], cut)
+            else:
+                lo[d] = max(lo[d], cut)
+            leaf = up
+        return lo, hi
+
+    def outside(self, p: np.ndarray, leaf: int, distance: np.ndarray) -> np.ndarray:
+        """The probability that a point at ``distance`` from those projected to ``p`` is outside the leaf."""
+        lo, hi = self.box(leaf)
         d = np.maximum(distance, 1e-6)[:, None]
-        inside = _normal_cdf((self.hi[leaf] - p) / d) - _normal_cdf((self.lo[leaf] - p) / d)
+        inside = _normal_cdf((hi - p) / d) - _normal_cdf((lo - p) / d)
         return 1 - np.clip(inside, 0, 1).prod(1)
 
 
-def search_leaf(x: np.ndarray, ids: np.ndarray, asking: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int) -> None:
-    """Merge the leaf's vectors into the k best (``near``, ``sims``) of the rows ``asking``, in place."""
-    n = len(x)
-    if n < 2:
-        return
-    blocks = max(1, min(64, n // 8))
-    cut = np.linspace(0, n, blocks + 1).astype(int)[:-1]
-    for s in range(0, len(asking), 512):
-        rows = asking[s : s + 512]
-        dots = x[rows] @ x.T
-        dots[np.arange(len(rows)), rows] = -2
-        floor = sims[rows, k - 1]
-        if blocks > 2 * k:
-            floor = np.maximum(floor, np.partition(np.maximum.reduceat(dots, cut, axis=1), blocks - k, axis=1)[:, blocks - k])
-        r, c = np.nonzero(dots >= (floor - 1e-6)[:, None])
-        value = dots[r, c]
-        real = value > -2
-        r, c, value = r[real], c[real], value[real]
-        begins = np.searchsorted(r, np.arange(len(rows) + 1))
-        for i, row in enumerate(rows):
-            a, b = begins[i], begins[i + 1]
-            if a == b:
-                continue
-            new_ids, new_sims = ids[c[a:b]], value[a:b]
-            known = near[row]
-            fresh = ~np.isin(new_ids, known)
-            if not fresh.any():
-                continue
-            all_ids = np.concatenate([known, new_ids[fresh]])
-            all_sims = np.concatenate([sims[row], new_sims[fresh]])
-            best = np.lexsort((all_ids, -np.round(all_sims, 6)))[:k]
-            near[row], sims[row] = all_ids[best], all_sims[best]
-
-
-def rounds_for(leaves: int, recall: float) -> int:
-    """How many trees keep the expected share of separated neighbours under ``1 - recall``: a split
-    separates a pair of near neighbours about once in eleven."""
-    together = 0.91 ** max(0.0, math.log2(max(1, leaves)))
-    return 1 if together >= recall else max(2, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+def boxes_of(p: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows, lower and upper faces of the boxes of a kd-tree with ``size`` rows a box at most (more only
+    of equal projections)."""
+    dim = p.shape[1]
+    done, stack = [], [(np.arange(len(p)), np.full(dim, -np.inf, np.float32), np.full(dim, np.inf, np.float32))]
+    while stack:
+        rows, lo, hi = stack.pop()
+        d = int(p[rows].var(0).argmax()) if len(rows) > size else 0
+        cut = np.median(p[rows, d]) if len(rows) > size else np.inf
+        low = p[rows, d] < cut
+        if low.all() or not low.any():
+            done.append((rows, lo, hi))
+            continue
+        hi_low, lo_high = hi.copy(), lo.copy()
+        hi_low[d] = lo_high[d] = cut
+        stack += [(rows[low], lo, hi_low), (rows[~low], lo_high, hi)]
+    return [x[0] for x in done], np.array([x[1] for x in done]), np.array([x[2] for x in done])
+
+
+def chances(p: np.ndarray, distance: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The probability, of rows projected to ``p`` and boxes, that a point at ``distance`` lies beyond the
+    faces between (the upper tail of the normal distribution, to a thousandth)."""
+    z = np.maximum(np.maximum(lo[None] - p[:, None], p[:, None] - hi[None]), 0) / np.maximum(distance, 1e-3).astype(np.float32)[:, None, None]
+    return np.exp(np.where(z > 0, -0.693 - z * (0.717 + 0.416 * z), 0).sum(2))
+
+
+class Best:
+    """The k best ids of every row of a leaf, and their similarities; ties go to the smaller id."""
+
+    def __init__(self, near: np.ndarray, sims: np.ndarray):
+        self.near, self.sims, self.k = near, sims, near.shape[1]
+
+    def floor(self, rows: np.ndarray) -> np.ndarray:
+        return self.sims[rows, self.k - 1]
+
+    def distance(self, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.clip(2 - 2 * self.floor(rows), 0, 4))
+
+    def merge(self, rows: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
+        if not len(rows):
+            return
+        own = np.unique(rows)
+        rows = np.concatenate([rows, np.repeat(own, self.k)])
+        ids, sims = np.concatenate([ids, self.near[own].ravel()]), np.concatenate([sims, self.sims[own].ravel()])
+        order = np.lexsort((ids, -np.round(sims, 6), rows))
+        rows, ids, sims = rows[order], ids[order], sims[order]
+        # a pair seen twice has the same similarity up to rounding, hence stands beside itself or nearly so
+        again = np.zeros(len(rows), bool)
+        by_id = np.lexsort((ids, rows))
+        again[by_id[1:]] = (rows[by_id[1:]] == rows[by_id[:-1]]) & (ids[by_id[1:]] == ids[by_id[:-1]])
+        rows, ids, sims = rows[~again], ids[~again], sims[~again]
+        start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rank = np.arange(len(rows)) - np.repeat(start, np.diff(np.append(start, len(rows))))
+        kept = rank < self.k
+        self.near[own], self.sims[own] = np.iinfo(np.int64).max, -2
+        self.near[rows[kept], rank[kept]], self.sims[rows[kept], rank[kept]] = ids[kept], sims[kept]
+
+
+def search_leaf(x: np.ndarray, p: np.ndarray, ids: np.ndarray, asking: np.ndarray, best: Best, box_rows: int = BOX_ROWS) -> np.ndarray:
+    """Bring the ``best`` of the rows ``asking`` up to date with the leaf's vectors; returns, of each, the
+    probability that an unvisited box of the leaf holds a nearer one."""
+    members, lo, hi = boxes_of(p, box_rows)
+    asks = np.zeros(len(x), bool)
+    asks[asking] = True
+    own = [rows[asks[rows]] for rows in members]
+    left = np.zeros(len(x))
+
+    def compare(rows: np.ndarray, with_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for s in range(0, len(with_), 4 * box_rows):  # a box of equal projections may be larger
+            w = with_[s : s + 4 * box_rows]
+            dots = x[rows] @ x[w].T
+            dots[rows[:, None] == w[None]] = -2
+            floor = best.floor(rows)
+            if len(w) > best.k:
+                floor = np.maximum(floor, np.partition(dots, len(w) - best.k, axis=1)[:, len(w) - best.k])
+            i, j = np.nonzero((dots >= (floor - 1e-6)[:, None]) & (dots > -2))
+            found.append((rows[i], ids[w[j]], dots[i, j]))
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+    for rows, w in zip(own, members):
+        if len(rows):
+            for s in range(0, len(rows), 2 * box_rows):
+                best.merge(*compare(rows[s : s + 2 * box_rows], w))
+    if len(members) == 1:
+        return left[asking]
+    start = 0
+    while start < len(members):
+        stop, n = start, 0
+        while stop < len(members) and (n == 0 or n + len(own[stop]) <= QUERIES):
+            n += len(own[stop])
+            stop += 1
+        for nearest in (True, False):  # first the likeliest box alone, which makes the test sharper
+            visits = []
+            for b in range(start, stop):
+                rows = own[b]
+                for s in range(0, len(rows), 2 * box_rows):
+                    part = rows[s : s + 2 * box_rows]
+                    chance = chances(p[part], best.distance(part), lo, hi)
+                    chance[:, b] = 0
+                    if nearest:
+                        i, j = np.arange(len(part)), chance.argmax(1)
+                        go = chance[i, j] >= UNLIKELY
+                        i, j = i[go], j[go]
+                    else:
+                        i, j = np.nonzero(chance >= UNLIKELY)
+                        left[part] = np.where(chance < UNLIKELY, chance, 0).sum(1)
+                    visits.append((part[i], j))
+            if visits:
+                rows, to = (np.concatenate([v[k] for v in visits]) for k in (0, 1))
+                order = np.argsort(to, kind="stable")
+                rows, to = rows[order], to[order]
+                cut = np.searchsorted(to, np.arange(len(members) + 1))
+                found = [compare(rows[cut[b] + s : min(cut[b] + s + 2 * box_rows, cut[b + 1])], members[b]) for b in range(len(members)) for s in range(0, cut[b + 1] - cut[b], 2 * box_rows)]
+                if found:
+                    best.merge(*(np.concatenate([f[k] for f in found]) for k in range(3)))
+        start = stop
+    return left[asking]
 
 
 def nearest_vectors(
     vectors: DataFrame, k: int = 5, dim: int = 64, id_col: str = "row_id", vector_col: str = "embedding",
-    leaf_rows: int = LEAF_ROWS, recall: float = 0.99, miss: float = 0.01, rounds: int | None = None, seed: int = 1,
+    leaf_rows: int = LEAF_ROWS, miss: float = 0.01, rounds: int = ROUNDS, seed: int = 1,
 ) -> DataFrame:
     """``(id, neighbour, similarity)``: up to k rows for every usable vector, by cosine (ties:
     smaller id).
@@ -194,7 +294,6 @@ def nearest_vectors(
     fit = cleaned.where(F.pmod(F.xxhash64("id"), F.lit(thin)) == 0) if thin > 1 else cleaned
     fit_rows = fit.select("copy", "x").limit(2 * FIT_ROWS).toPandas().drop_duplicates("copy")
     sample = unpacked(pa.array(fit_rows["x"], pa.binary()), dim)
-    rounds = rounds or rounds_for(leaves, recall)
     trees = spark.sparkContext.broadcast([Tree(sample, leaves, seed * 1000 + t) for t in range(rounds)]) if len(sample) else None
     if trees is None:
         return spark.createDataFrame([], "id bigint, neighbour bigint, similarity float")
@@ -223,11 +322,11 @@ def nearest_vectors(
             sims = np.frombuffer(b"".join(group.column("sims").to_pylist()), np.float32).reshape(-1, k).copy()
             missed = group.column("miss").to_numpy().copy()
             asking = np.flatnonzero(missed > miss)
-            search_leaf(x, ids, asking, near, sims, k)
-            leaf = int(group.column("leaf")[0].as_py())
             if len(asking):
-                far = np.sqrt(np.maximum(0, 2 - 2 * sims[asking, k - 1].astype(np.float64)))
-                missed[asking] *= tree.outside(x[asking], leaf, far)
+                p, best = x @ tree.matrix, Best(near, sims)
+                within = search_leaf(x, p, ids, asking, best)
+                beyond = tree.outside(p[asking].astype(np.float64), int(group.column("leaf")[0].as_py()), best.distance(asking))
+                missed[asking] *= np.minimum(1, within + beyond)
             after = trees.value[t + 1].leaf(x) if t + 1 < rounds else np.zeros(len(x), np.int32)
             return pa.table(
                 [group.column("id"), group.column("x") if t + 1 < rounds else pa.nulls(len(x), pa.binary()), pa.array([r.tobytes() for r in near], pa.binary()), pa.array([r.tobytes() for r in sims], pa.binary()), pa.array(missed), pa.array(after)],
