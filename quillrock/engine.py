@@ -18,8 +18,9 @@ from quillrock.functions import textmetrics as tm
 from quillrock.generation import Claim, ProviderChain, extract
 from quillrock.operators import graph
 from quillrock.operators.policystore import PolicyStore
-from quillrock.operators.search import Hits, Unchecked, block_top_k
+from quillrock.operators.search import Hits, Unchecked, block_top_k, permitted
 from quillrock.plans import compiler
+from quillrock.session import persisted
 
 # Fixed values.
 DEFAULT_K, MAX_K = 10, 50
@@ -113,8 +114,8 @@ class Engine:
             if plan is None:
                 tuples = self.store.tuples()
                 corpus = graph.objects_of(tuples).count()
-                rows = compiler.compile_plans(tuples, corpus, epoch).where(F.col("principal") == principal).collect()
-                plan = rows[0].asDict() if rows else {"principal": principal, "strategy": "enumerate", "grant_tokens": [], "explicit_ids": [], "epoch": epoch, "estimated_cardinality": 0}
+                one = self.spark.createDataFrame([(principal,)], "principal string")
+                plan = compiler.compile_plans(tuples, corpus, epoch, self.store.namespaces, principals=one).first().asDict()
                 self.cache.put(key, plan)
             if plan["epoch"] >= self.store.epoch:
                 return plan
@@ -131,9 +132,8 @@ class Engine:
     # --- authority
 
     def check(self, obj: str, principal: str, relation: str = "viewer", max_depth: int = graph.MAX_DEPTH) -> bool:
-        one = self.spark.createDataFrame([(obj,)], "object string")
-        pairs = graph.check_pairs(one, self.store.tuples(), self.store.namespaces, relation, max_depth)
-        return not pairs.where(F.col("principal") == principal).isEmpty()
+        one = self.spark.createDataFrame([(obj, principal)], "object string, principal string")
+        return not graph.check_hits(one, self.store.tuples(), self.store.namespaces, relation, max_depth).isEmpty()
 
     def explain(self, obj: str, principal: str, relation: str = "viewer") -> DataFrame:
         """The expansion of the object, with ``names`` true where the principal's closure meets a subject."""
@@ -154,19 +154,15 @@ class Engine:
     # --- search
 
     def search(self, principal: str, vector: list[float], k: int = DEFAULT_K, diagnostics: Diagnostics | None = None) -> Unchecked:
-        p = self.plan(principal, diagnostics)
-        lit = lambda x: F.lit(x) if isinstance(x, str) else F.array(*[F.lit(v) for v in x]).cast("array<string>")
-        args = (lit(p["strategy"]), lit(p["grant_tokens"]), lit(p["explicit_ids"]))
-        permitted = self.chunks.where(compiler.admits(*args, F.col("object_ref"), F.col("object_id"), F.col("grant_tokens")))
-        top = block_top_k(permitted, [(0, vector, None)], k)
+        top = block_top_k(permitted(self.chunks, self.plan(principal, diagnostics)), [(0, vector, None)], k)
         return Unchecked(top.join(self.chunks.select("row_id", "chunk_id", "object_ref", "text"), "row_id").withColumn("principal", F.lit(principal)))
 
     def recheck(self, hits: Unchecked) -> tuple[Hits, int]:
         """What the live tuples allow, in the order it came, and how many hits were dropped."""
         epoch = self.store.epoch
-        rows = hits.rows.persist()
-        objects = rows.select(F.col("object_ref").alias("object")).where("object is not null").distinct()
-        checked = graph.recheck(rows, graph.check_pairs(objects, self.store.tuples(), self.store.namespaces)).persist()
+        rows = persisted(hits.rows, "hits")
+        pairs = rows.select(F.col("object_ref").alias("object"), "principal").where("object is not null")
+        checked = persisted(graph.recheck(rows, graph.check_hits(pairs, self.store.tuples(), self.store.namespaces)), "checked")
         return Hits(checked.where("kept").drop("kept").orderBy("rank"), epoch), checked.where("not kept").count()
 
     def ask(self, principal: str, question: str, vector: list[float], k: int = DEFAULT_K) -> Answer:

@@ -6,15 +6,18 @@ row commits to the row before it. Verification needs only neighbours and runs in
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
 GENESIS = "0" * 64
 PAGE_ROWS = 500
-LATENCY_EDGES = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+LATENCY_EDGES = (0.001, 0.005, 0.01, 0.025, 0.06, 0.1, 0.2, 0.4, 0.6, 1.0, 2.5, 5.0)
 
 
 def canonical_json(**columns: Column) -> Column:
@@ -29,23 +32,29 @@ def link(prev: Column, json: Column) -> Column:
 def chained(rows: DataFrame, stream: list[str]) -> DataFrame:
     """Rows (``seq, json``, and the columns of ``stream``) with ``prev`` and ``digest``.
 
-    The rows of one stream are folded in order of ``seq``; choose streams that end, such as days.
+    The rows of one stream are hashed one after the other, in order of ``seq``, as a sorted stream
+    over a partition: only the last digest is held, however long a stream is.
     """
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("seq", "json"))),
-        F.array().cast("array<struct<seq: bigint, json: string, prev: string, digest: string>>"),
-        lambda acc, r: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    r["seq"].cast("bigint").alias("seq"), r["json"].alias("json"), F.coalesce(F.try_element_at(acc, F.lit(-1))["digest"], F.lit(GENESIS)).alias("prev"),
-                    link(F.coalesce(F.try_element_at(acc, F.lit(-1))["digest"], F.lit(GENESIS)), r["json"]).alias("digest"),
-                )
-            ),
-        ),
-    )
-    with_guard = F.when(F.count("*") > 0, folded)
-    return rows.groupBy(*stream).agg(with_guard.alias("c")).select(*stream, F.inline("c"))
+    n = len(stream)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_stream, last = None, GENESIS
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(n)))) if n else [()] * b.num_rows
+            prev, digest = [], []
+            for key, text in zip(keys, b.column(n + 1).to_pylist()):
+                if key != open_stream:
+                    open_stream, last = key, GENESIS
+                prev.append(last)
+                if text is not None:
+                    last = hashlib.sha256(f"{last}\n{text}".encode()).hexdigest()
+                digest.append(last if text is not None else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prev, pa.string()), pa.array(digest, pa.string())], names=[*b.schema.names, "prev", "digest"])
+
+    placed = rows.select(*stream, F.col("seq").cast("bigint").alias("seq"), "json")
+    placed = (placed.repartition(*stream) if n else placed.coalesce(1)).sortWithinPartitions(*stream, "seq")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
+    return placed.mapInArrow(run, f"{kinds}, prev string, digest string")
 
 
 def verified(chain: DataFrame, stream: list[str]) -> DataFrame:
@@ -70,17 +79,24 @@ def page(rows: DataFrame, after_seq: int, limit: int = PAGE_ROWS) -> DataFrame:
 
 
 def histogram(rows: DataFrame, by: str, value: Column, edges: tuple[float, ...] = LATENCY_EDGES) -> DataFrame:
-    """Cumulative counts: ``by, le, n``; the edge belongs to its bucket, ``+Inf`` counts all."""
+    """Cumulative counts ``by, le, n`` with the group's ``sum``; an edge belongs to its bucket, ``+Inf``
+    counts all."""
     counts = [F.count_if(value <= e).alias(f"b{i}") for i, e in enumerate(edges)]
-    agg = rows.where(value.isNotNull()).groupBy(by).agg(*counts, F.count("*").alias("all"))
-    cells = [F.struct(F.lit(str(e)).alias("le"), F.col(f"b{i}").alias("n")) for i, e in enumerate(edges)]
+    agg = rows.where(value.isNotNull()).groupBy(by).agg(*counts, F.count("*").alias("all"), F.sum(value.cast("double")).alias("sum"))
+    cells = [F.struct(F.lit(f"{e:g}").alias("le"), F.col(f"b{i}").alias("n")) for i, e in enumerate(edges)]
     cells.append(F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n")))
-    return agg.select(by, F.inline(F.array(*cells)))
-
-
-def exposition(hist: DataFrame, by: str, name: str) -> DataFrame:
-    """Lines of the text format."""
-    return hist.select(F.format_string(f'{name}_bucket{{{by}="%s",le="%s"}} %d', F.col(by).cast("string"), "le", "n").alias("line"))
+    return agg.select(by, F.inline(F.array(*cells)), "sum")
+
+
+def exposition(hist: DataFrame, by: str, name: str, help_text: str = "") -> DataFrame:
+    """Lines of the text format, with the sum and count of each group, and the two heads."""
+    label = F.col(by).cast("string")
+    cells = hist.select(F.format_string(f'{name}_bucket{{{by}="%s",le="%s"}} %d', label, "le", "n").alias("line"))
+    total = hist.where("le = '+Inf'").select(
+        F.explode(F.array(F.format_string(f'{name}_sum{{{by}="%s"}} %s', label, F.round("sum", 6).cast("decimal(38,6)").cast("string")), F.format_string(f'{name}_count{{{by}="%s"}} %d', label, "n"))).alias("line")
+    )
+    heads = hist.sparkSession.createDataFrame([(f"# HELP {name} {help_text}",), (f"# TYPE {name} histogram",)], "line string")
+    return heads.unionByName(cells).unionByName(total)
 
 
 def nearest_ranks(rows: DataFrame, by: str, value: str, **shares: float) -> DataFrame:

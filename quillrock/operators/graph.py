@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrock.model import object_ref, principal_ref
+from quillrock.model import TUPLE_COLUMNS, object_ref, principal_ref
 from quillrock.plans.rewrite import Namespace, default_namespaces, implies_table, ttu_table
 from quillrock.session import persisted
 
@@ -97,6 +97,18 @@ def containment_edges(tuples: DataFrame, namespaces: dict[str, Namespace], relat
     return forward.unionByName(back).where("src <> dst").distinct()
 
 
+def oriented(tuples: DataFrame, relation: str = "parent", outer: str = "folder", inner: str = "doc") -> DataFrame:
+    """The tuples with containment in one spelling, ``inner#parent@outer``: those that name the inner
+    object as the parent of the outer one are turned around. Other tuples stay as they are.
+
+    Read one way, inheritance then goes from folders to what they hold. Read both ways it goes
+    from any object of a folder to all others too, and one folder of N documents has N * N pairs.
+    """
+    turn = (F.col("relation") == relation) & (F.col("object_ns") == outer) & (F.col("principal_ns") == inner) & (F.col("principal_rel") == "")
+    swap = {"object_ns": "principal_ns", "object_id": "principal_id", "principal_ns": "object_ns", "principal_id": "object_id"}
+    return tuples.select(*[F.when(turn, F.col(swap[c])).otherwise(F.col(c)).alias(c) if c in swap else F.col(c) for c in tuples.columns]).dropDuplicates(TUPLE_COLUMNS)
+
+
 def containers(objects: DataFrame, tuples: DataFrame, namespaces: dict[str, Namespace], depth: int = OBJECT_DEPTH) -> DataFrame:
     """``object, container, depth`` of the objects (``object``), themselves at depth 0."""
     w = walk(objects.select(F.col("object").alias("root"), F.col("object").alias("node")), containment_edges(tuples, namespaces), depth, "containers")
@@ -153,26 +165,84 @@ def check_pairs(
     return leaves.join(members, "subject").where(cost <= max_depth).groupBy("object", "principal").agg(F.min(cost).alias("cost"))
 
 
-def reachable_objects(tuples: DataFrame, namespaces: dict[str, Namespace] | None = None, relation: str = "viewer", ns_wanted: str = "doc") -> DataFrame:
-    """``principal, object``: what the grantors of each principal's closure are granted, and what
-    these objects contain, down to the object depth.
+def check_hits(
+    pairs: DataFrame, tuples: DataFrame, namespaces: dict[str, Namespace] | None = None, relation: str = "viewer", max_depth: int = MAX_DEPTH
+) -> DataFrame:
+    """``object, principal, cost`` of the allowed ones of the given ``object, principal`` pairs, as
+    ``check_pairs`` but from both ends: only the objects and principals of the pairs are walked, and
+    rows are made only for them."""
+    ns = namespaces or default_namespaces()
+    pairs = persisted(pairs.select("object", "principal").distinct(), "pairs")
+    up = containers(pairs.select("object").distinct(), tuples, ns, max_depth)
+    grants = direct_grants(tuples, ns, relation).withColumnRenamed("object", "container")
+    leaves = persisted(up.join(grants, "container").groupBy("object", "subject").agg(F.min("depth").alias("depth")), "leaves")
+    asked = pairs.select("principal").distinct()
+    members = closure_of(asked, tuples, ns, max_depth).select("principal", F.col("userset").alias("subject"), "hop")
+    cost = F.col("depth") + F.col("hop")
+    allowed = pairs.join(leaves, "object").join(members, ["principal", "subject"]).where(cost <= max_depth)
+    return allowed.groupBy("object", "principal").agg(F.min(cost).alias("cost"))
 
-    Principals with the same set of grantors are walked as one.
+
+def closure_of(asked: DataFrame, tuples: DataFrame, namespaces: dict[str, Namespace], depth: int = SUBJECT_DEPTH) -> DataFrame:
+    """``principal, userset, hop`` of the concrete principals ``asked`` (``principal``), themselves at hop 0
+    also where no tuple names them."""
+    inner = persisted(userset_closure(tuples, namespaces, depth), "closure")
+    mine = tuples.where("principal_rel = ''").join(asked.select(F.col("principal").alias("__who")), principal_ref() == F.col("__who"), "left_semi")
+    direct = membership_edges(mine, subject_keys(tuples), namespaces)
+    reached = direct.join(inner, F.col("dst") == F.col("root")).select(F.col("src").alias("principal"), F.col("node").alias("userset"), (F.col("hop") + 1).alias("hop"))
+    own = asked.select("principal", F.col("principal").alias("userset"), F.lit(0).alias("hop"))
+    return own.unionByName(reached.where(F.col("hop") <= depth)).groupBy("principal", "userset").agg(F.min("hop").alias("hop"))
+
+
+class Reach:
+    """What every principal reaches, by the set of its usersets.
+
+    ``sets``: ``principal, key`` (equal for equal sets of usersets); ``by_key``: ``key, object`` of
+    what a set reaches; ``own``: ``principal, object`` of what only the principal's own grants reach.
+    No row is made per principal and object of a shared set. With the ``closure`` of some principals
+    only what they are granted is walked.
     """
-    ns = namespaces or default_namespaces()
-    closure = persisted(principal_closure(tuples, ns), "closures")
-    # The principal itself is a grantor of its own; the usersets make the shared part.
-    sets = closure.where("hop > 0").groupBy("principal").agg(F.array_sort(F.collect_set("userset")).alias("usersets"))
-    sets = persisted(sets.withColumn("key", F.xxhash64("usersets")), "sets")
-    down = containment_edges(tuples, ns, relation).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    grants = direct_grants(tuples, ns, relation)
-    below = persisted(walk(grants.select(F.col("object").alias("root"), F.col("object").alias("node")), down, OBJECT_DEPTH, "below"), "below")
-    granted = grants.join(below, F.col("object") == F.col("root")).select(F.col("subject"), F.col("node").alias("object")).where(F.col("object").startswith(f"{ns_wanted}:")).distinct()
-    granted = persisted(granted, "granted")
-    shared = sets.select("key", "usersets").dropDuplicates(["key"]).select("key", F.explode("usersets").alias("subject"))
-    by_key = shared.join(granted, "subject").select("key", "object").distinct()
-    own = closure.where("hop = 0").select("principal", F.col("userset").alias("subject")).join(granted, "subject").select("principal", "object")
-    return own.unionByName(sets.select("principal", "key").join(by_key, "key").select("principal", "object")).distinct()
+
+    def __init__(self, tuples: DataFrame, namespaces: dict[str, Namespace] | None = None, relation: str = "viewer", ns_wanted: str = "doc", closure: DataFrame | None = None):
+        ns, few = namespaces or default_namespaces(), closure is not None
+        self.closure = closure = persisted(closure if few else principal_closure(tuples, ns), "closures")
+        # The principal itself is a grantor of its own; the usersets make the shared part.
+        sets = closure.where("hop > 0").groupBy("principal").agg(F.array_sort(F.collect_set("userset")).alias("usersets"))
+        sets = persisted(sets.withColumn("key", F.sha2(F.to_json("usersets"), 256)), "sets")
+        self.sets = sets.select("principal", "key")
+        down = containment_edges(tuples, ns, relation).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        grants = direct_grants(tuples, ns, relation)
+        if few:
+            grants = grants.join(closure.select(F.col("userset").alias("subject")).distinct(), "subject", "left_semi")
+        grants = persisted(grants, "grants")
+        # only what contains something is walked
+        roots = grants.select(F.col("object").alias("root")).distinct()
+        holders = roots.join(down.select(F.col("src").alias("root")).distinct(), "root", "left_semi")
+        below = walk(holders.select("root", F.col("root").alias("node")), down, OBJECT_DEPTH, "below").where("hop > 0")
+        granted = grants.select("subject", "object").unionByName(grants.join(below, F.col("object") == F.col("root")).select("subject", F.col("node").alias("object")))
+        granted = persisted(granted.where(F.col("object").startswith(f"{ns_wanted}:")).distinct(), "granted")
+        shared = sets.select("key", "usersets").dropDuplicates(["key"]).select("key", F.explode("usersets").alias("subject"))
+        self.by_key = persisted(shared.join(granted, "subject").select("key", "object").distinct(), "bykey")
+        own = closure.where("hop = 0").select("principal", F.col("userset").alias("subject")).join(granted, "subject").select("principal", "object")
+        self.own = persisted(own.join(self.sets, "principal", "left").join(self.by_key, ["key", "object"], "left_anti").select("principal", "object"), "own")
+
+    def counts(self) -> DataFrame:
+        """``principal, n`` of the principals that reach something."""
+        shared = self.sets.join(self.by_key.groupBy("key").agg(F.count("*").alias("n")), "key").select("principal", "n")
+        return shared.unionByName(self.own.groupBy("principal").agg(F.count("*").alias("n"))).groupBy("principal").agg(F.sum("n").alias("n"))
+
+    def objects(self, principals: DataFrame | None = None) -> DataFrame:
+        """``principal, object`` of the given principals, or of all."""
+        sets, own = self.sets, self.own
+        if principals is not None:
+            sets, own = (x.join(principals.select("principal"), "principal", "left_semi") for x in (sets, own))
+        return sets.join(self.by_key, "key").select("principal", "object").unionByName(own)
+
+
+def reachable_objects(tuples: DataFrame, namespaces: dict[str, Namespace] | None = None, relation: str = "viewer", ns_wanted: str = "doc") -> DataFrame:
+    """``principal, object``: what the grantors of each principal's closure are granted, and what
+    these objects contain, down to the object depth. Every pair is a row; ``Reach`` counts without."""
+    return Reach(tuples, namespaces, relation, ns_wanted).objects()
 
 
 def recheck(hits: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -45,36 +45,44 @@ def quote_boundaries(text: str) -> list[int]:
     return sorted(o for o in found if 0 < o < len(text))
 
 
+def _windows(ends: np.ndarray, n: int, cfg: Chunking) -> list[tuple[int, int]]:
+    """Token ranges over a segment of ``n`` tokens. ``ends[i]`` is the greatest number of tokens up to ``i``
+    whose last one ends a sentence (0: none)."""
+    ranges = [(0, n)] if n <= cfg.target else []
+    first = 0
+    while not ranges or ranges[-1][1] < n:
+        stop = min(n, first + cfg.target)
+        sentence = int(ends[stop])
+        if stop < n and sentence > max(first, stop - cfg.slack):
+            stop = sentence
+        ranges.append((first, stop))
+        first = max(stop - cfg.overlap, first + 1)
+    return ranges
+
+
 def split_text(text: str, cfg: Chunking = Chunking(), boundaries: list[int] | None = None) -> list[tuple[int, int, int]]:
     """``(char_start, char_end, n_tokens)`` of each chunk.
 
-    A chunk has up to ``target`` tokens and is cut back by up to ``slack`` to the end of a
-    sentence; it never crosses a boundary, and only chunks cut otherwise overlap the next. A last
-    piece that lies in the one before, or is shorter than ``least``, is left out.
+    The tokens are first cut into segments at the boundaries. Windows of up to ``target`` tokens
+    run over each segment, cut back by up to ``slack`` tokens to the end of a sentence, each
+    overlapping the one before. A piece that lies in the one before, or has fewer than ``least``
+    tokens, is left out; the first piece of a text stays however short it is.
     """
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    starts = [s for s, _ in spans]
-    marks = boundaries or []
-    out: list[tuple[int, int, int]] = []
-    n, at = len(spans), 0
-    while at < n:
-        end = min(at + cfg.target, n)
-        k = bisect_right(marks, starts[at])
-        limit = bisect_left(starts, marks[k]) if k < len(marks) else n
-        at_boundary = limit < end
-        end = min(end, limit)
-        if end < n and not at_boundary:
-            for back in range(end, max(at, end - cfg.slack), -1):
-                if SENTENCE_END.search(text[spans[back - 1][0] : spans[back - 1][1]]):
-                    end = back
-                    break
-        s, e = spans[at][0], spans[end - 1][1]
-        if not out or (e > out[-1][1] and end - at >= cfg.least):
-            out.append((s, e, end - at))
-        if end >= n:
-            break
-        at = end if at_boundary else max(end - cfg.overlap, at + 1)
-    return out
+    tokens = [(m.start(), m.end(), bool(SENTENCE_END.search(m[0]))) for m in TOKEN.finditer(text)]
+    if not tokens:
+        return []
+    start, stop, final = (np.array(c) for c in zip(*tokens))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(start, boundaries or []), [len(tokens)]]))
+    chunks: list[tuple[int, int, int]] = []
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        place = np.arange(1, high - low + 1)
+        ends = np.concatenate([[0], np.maximum.accumulate(np.where(final[low:high], place, 0))])
+        chunks += [(int(start[low + i]), int(stop[low + j - 1]), j - i) for i, j in _windows(ends, high - low, cfg)]
+    kept = chunks[:1]
+    for c in chunks[1:]:
+        if c[1] > kept[-1][1] and c[2] >= cfg.least:
+            kept.append(c)
+    return kept
 
 
 def chunk_id(object_ref: str, ordinal: int, text: str) -> str:

@@ -1,8 +1,9 @@
-"""The tuple store: immutable snapshots by epoch, published by a pointer.
+"""The tuple store: immutable snapshots by epoch, each published by a pointer file of its own.
 
-A write makes the next snapshot as a whole and only then moves the pointer, so a reader sees
-rows and epoch of one state or of the other. Deletes come before writes; the epoch grows with
-every call, also one that changes nothing.
+A write makes the next snapshot as a whole and only then creates the pointer of its epoch,
+without overwriting: of two writers one loses, and begins again from the other's state. A
+reader takes the greatest complete pointer and gets rows, epoch and namespaces of that state.
+Deletes come before writes; the epoch grows with every call, also one that changes nothing.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,54 +43,86 @@ def stats(tuples: DataFrame, epoch: int = 0) -> DataFrame:
     )
 
 
+class Conflict(Exception):
+    """Another writer published the epoch first, again and again."""
+
+
 class PolicyStore:
-    """A durable store in a shared folder, with a JSON pointer ``{epoch, snapshot}`` written last."""
+    """A durable store in a shared folder; pointers are JSON ``{epoch, snapshot, namespaces}``."""
+
+    ATTEMPTS = 20
 
     def __init__(self, spark: SparkSession, path: str | None = None, namespaces: dict[str, Namespace] | None = None):
         self.spark = spark
         self.path = path or scratch_path(spark, "policy")
-        self.namespaces = dict(namespaces or default_namespaces())
         self._fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         if self._pointer() is None:
-            self._publish(spark.createDataFrame([], TUPLES), 0)
+            if self._names(f"{self.path}/snapshots"):
+                raise RuntimeError(f"snapshots without a pointer under {self.path}; not initialised over them")
+            try:
+                self._publish(spark.createDataFrame([], TUPLES), 0, namespaces or default_namespaces())
+            except Conflict:  # another store was made here meanwhile
+                pass
 
-    def _pointer(self) -> dict | None:
-        p = self._fs_path(f"{self.path}/CURRENT")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+    def _names(self, path: str) -> list[str]:
+        p = self._fs_path(path)
+        return [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
 
-    def _publish(self, df: DataFrame, epoch: int) -> None:
-        name = f"epoch={epoch}-{uuid.uuid4().hex[:8]}"
+    def _pointer(self) -> dict | None:
+        """The greatest pointer that is written in full."""
+        for name in sorted((n for n in self._names(f"{self.path}/pointers") if n.endswith(".json")), reverse=True):
+            try:
+                stream = self._fs.open(self._fs_path(f"{self.path}/pointers/{name}"))
+                try:
+                    return json.loads(bytes(stream.readAllBytes()).decode())
+                finally:
+                    stream.close()
+            except (ValueError, Py4JJavaError):  # being written
+                continue
+        return None
+
+    def _publish(self, df: DataFrame, epoch: int, namespaces: dict[str, Namespace]) -> None:
+        name = f"snapshots/{epoch}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{name}")
-        temp, final = self._fs_path(f"{self.path}/CURRENT.{uuid.uuid4().hex}"), self._fs_path(f"{self.path}/CURRENT")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps({"epoch": epoch, "snapshot": name}).encode()))
+        pointer = {"epoch": epoch, "snapshot": name, "namespaces": {k: v.to_json() for k, v in namespaces.items()}}
+        try:
+            out = self._fs.create(self._fs_path(f"{self.path}/pointers/{epoch:012d}.json"), False)
+        except Py4JJavaError as e:
+            raise Conflict(epoch) from e
+        out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temp, final)
+
+    def state(self) -> tuple[int, DataFrame, dict[str, Namespace]]:
+        """Epoch, tuples and namespaces of one published state."""
+        p = self._pointer()
+        rows = self.spark.read.schema(TUPLES).parquet(f"{self.path}/{p['snapshot']}")
+        return p["epoch"], rows, {k: Namespace.from_json(v) for k, v in p["namespaces"].items()}
 
     @property
     def epoch(self) -> int:
         return self._pointer()["epoch"]
 
+    @property
+    def namespaces(self) -> dict[str, Namespace]:
+        return self.state()[2]
+
     def tuples(self) -> DataFrame:
-        return self.spark.read.schema(TUPLES).parquet(f"{self.path}/{self._pointer()['snapshot']}")
+        return self.state()[1]
 
-    def apply(self, writes: DataFrame | None = None, deletes: DataFrame | None = None) -> tuple[int, int]:
-        """``(epoch, n_applied)``."""
+    def apply(self, writes: DataFrame | None = None, deletes: DataFrame | None = None, namespaces: dict[str, Namespace] | None = None) -> tuple[int, int]:
+        """``(epoch, n_applied)``; ``namespaces`` are declared with it."""
         none = self.spark.createDataFrame([], TUPLES)
-        base, writes, deletes = self.tuples(), writes if writes is not None else none, deletes if deletes is not None else none
-        n = n_applied(base, writes, deletes).first()[0]
-        epoch = self.epoch + 1
-        self._publish(merged(base, writes, deletes), epoch)
-        return epoch, n
+        writes, deletes = writes if writes is not None else none, deletes if deletes is not None else none
+        for _ in range(self.ATTEMPTS):
+            epoch, base, known = self.state()
+            n = n_applied(base, writes, deletes).first()[0]
+            try:
+                self._publish(merged(base, writes, deletes), epoch + 1, known | (namespaces or {}))
+                return epoch + 1, n
+            except Conflict:
+                continue
+        raise Conflict(self.path)
 
     def write(self, tuples: DataFrame) -> int:
         return self.apply(writes=tuples)[0]
@@ -97,8 +131,7 @@ class PolicyStore:
         return self.apply(deletes=tuples)[0]
 
     def define_namespace(self, ns: Namespace) -> int:
-        self.namespaces[ns.name] = ns
-        return self.apply()[0]
+        return self.apply(namespaces={ns.name: ns})[0]
 
     def namespace(self, name: str) -> Namespace:
         return self.namespaces.get(name, Namespace(name))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrock.plans.compiler import admits, first_matching_token
+from quillrock.plans.compiler import bindings, overlaps
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,21 +57,43 @@ class Hits:
     epoch: int
 
 
-class _Secured:
-    """Chunks that can only be read through a plan."""
+def permitted(chunks: DataFrame, plan: dict) -> DataFrame:
+    """The chunks (``object_ref, object_id, grant_tokens``) that one compiled plan admits.
 
-    def __init__(self, chunks: DataFrame, dim: int):
-        self._chunks = chunks.where(usable(F.col("embedding"), dim))
-
-    def under(self, plans: DataFrame) -> DataFrame:
-        """Each plan's permitted chunks, with ``matched_token``; a plan that binds an empty set gets none."""
-        c, p = self._chunks.alias("c"), plans.alias("p")
-        args = (F.col("strategy"), F.col("p.grant_tokens"), F.col("explicit_ids"), F.col("object_ref"), F.col("object_id"), F.col("c.grant_tokens"))
-        return c.crossJoin(F.broadcast(p)).where(admits(*args)).withColumn("matched_token", first_matching_token(F.col("c.grant_tokens"), F.col("p.grant_tokens")))
-
-
-def secured(chunks: DataFrame, dim: int = 64) -> _Secured:
-    return _Secured(chunks, dim)
+    Tokens (as many as the principal has usersets) are tested in the scan; ids, of which a plan
+    carries ``EXACT_SCAN_MAX`` at most, are a semi-join with a table of that bound.
+    """
+    strategy, tokens, ids = plan["strategy"], plan["grant_tokens"], plan["explicit_ids"]
+    if strategy == "unfiltered":
+        return chunks
+    by_tokens, by_ids = strategy == "grant_tokens" or bool(tokens), strategy == "enumerate" or bool(ids)
+    if not (by_tokens or by_ids) or (by_tokens and not tokens) or (by_ids and not ids):
+        return chunks.limit(0)
+    if by_tokens:
+        chunks = chunks.where(overlaps(F.col("grant_tokens"), F.array(*[F.lit(t) for t in tokens])))
+    if by_ids:
+        listed = chunks.sparkSession.createDataFrame([(i,) for i in ids], "__id string")
+        chunks = chunks.join(F.broadcast(listed), (F.col("__id") == F.col("object_ref")) | (F.col("__id") == F.col("object_id")), "left_semi")
+    return chunks
+
+
+def permitted_pairs(chunks: DataFrame, plans: DataFrame) -> DataFrame:
+    """``principal, row_id, matched_token`` of what plans that are not unfiltered admit.
+
+    Chunks and plans meet on equal tokens and on equal ids, both exploded; each plan then keeps
+    the rows that meet all conditions it binds, so one that binds an empty set keeps none.
+    """
+    by_tokens, by_ids = bindings(F.col("strategy"), F.col("grant_tokens"), F.col("explicit_ids"))
+    p = plans.where("strategy <> 'unfiltered'").select("principal", "grant_tokens", "explicit_ids", by_tokens.alias("by_tokens"), by_ids.alias("by_ids"))
+    c = chunks.select("row_id", "object_ref", "object_id", "grant_tokens")
+    token = c.select("row_id", F.explode("grant_tokens").alias("token")).join(p.select("principal", F.explode("grant_tokens").alias("token")), "token")
+    token = token.groupBy("principal", "row_id").agg(F.min("token").alias("matched_token"))
+    ids = p.select("principal", F.explode("explicit_ids").alias("id"))
+    named = c.select("row_id", F.explode(F.array_distinct(F.array("object_ref", "object_id"))).alias("id")).where("id is not null")
+    listed = named.join(ids, "id").select("principal", "row_id").distinct().withColumn("listed", F.lit(True))
+    met = token.join(listed, ["principal", "row_id"], "full").join(p.select("principal", "by_tokens", "by_ids"), "principal")
+    held = (~F.col("by_tokens") | F.col("matched_token").isNotNull()) & (~F.col("by_ids") | F.col("listed").isNotNull()) & (F.col("by_tokens") | F.col("by_ids"))
+    return met.where(held).select("principal", "row_id", "matched_token")
 
 
 def ranked(scored: DataFrame, query: str, k: int) -> DataFrame:
@@ -80,15 +102,13 @@ def ranked(scored: DataFrame, query: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def permitted_top_k(pairs: DataFrame, queries: DataFrame, k: int, query: str = "query_id") -> DataFrame:
-    """``query_id, rank, row_id, score`` of permitted ``(query_id, row_id, embedding)`` rows.
-
-    ``queries`` (``query_id, q``) is a stated set; its size is the caller's to bound.
-    """
-    if k <= 0:
-        return pairs.select(query, F.lit(0).alias("rank"), "row_id", F.lit(0.0).alias("score")).limit(0)
-    scored = pairs.join(F.broadcast(queries), query).withColumn("score", cosine(F.col("embedding"), F.col("q"))).where(~F.isnan("score"))
-    return ranked(scored, query, k)
+def top_k_of_pairs(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, rank, row_id, score`` over the permitted ``principal, row_id`` pairs of the queries
+    ``query_id, embedding, principal``; ``k`` of zero or less gives none."""
+    v = chunks.select("row_id", F.col("embedding").alias("v"))
+    q = queries.select("query_id", F.col("embedding").alias("q"), "principal")
+    scored = pairs.select("principal", "row_id").join(v, "row_id").join(q, "principal").withColumn("score", cosine(F.col("v"), F.col("q")))
+    return ranked(scored.where(~F.isnan("score")).select("query_id", "row_id", "score"), "query_id", max(0, k))
 
 
 def block_top_k(chunks: DataFrame, queries: list[tuple[int, list[float], frozenset[str] | None]], k: int, dim: int = 64) -> DataFrame:

@@ -15,8 +15,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrock.operators.graph import expand_leaves, principal_closure, reachable_objects
-from quillrock.plans.rewrite import Namespace
+from quillrock.operators.graph import Reach, closure_of, expand_leaves
+from quillrock.plans.rewrite import Namespace, default_namespaces
+from quillrock.session import persisted
 
 # Limits of the strategies.
 ENUMERATE_MAX = 512
@@ -52,16 +53,17 @@ def walk_cap(corpus: int) -> int:
     return min(ENUMERATION_CAP, max(EXACT_SCAN_MAX + 1, corpus + 1))
 
 
-def compile_plans(tuples: DataFrame, corpus: int, epoch: int = 0, namespaces: dict[str, Namespace] | None = None, key: str = DEV_KEY) -> DataFrame:
-    """One plan per principal; ids are spelled ``ns:id`` and sorted, empty where not carried."""
-    closure = principal_closure(tuples, namespaces)
-    tokens = closure.groupBy("principal").agg(F.array_sort(F.collect_set(grant_token(F.col("userset"), key=key))).alias("grant_tokens"))
+def compile_plans(tuples: DataFrame, corpus: int, epoch: int = 0, namespaces: dict[str, Namespace] | None = None, key: str = DEV_KEY, principals: DataFrame | None = None) -> DataFrame:
+    """One plan per principal of the tuples, or per row of ``principals`` (``principal``); ids are spelled
+    ``ns:id`` and sorted, empty where not carried."""
+    closure = None if principals is None else closure_of(principals, tuples, namespaces or default_namespaces())
+    reach = Reach(tuples, namespaces, closure=closure)
+    tokens = reach.closure.groupBy("principal").agg(F.array_sort(F.collect_set(grant_token(F.col("userset"), key=key))).alias("grant_tokens"))
     cap = walk_cap(corpus)
-    reached = reachable_objects(tuples, namespaces)
-    counted = reached.groupBy("principal").agg(F.count("*").alias("n"))
-    # Ids are only collected for principals whose plan carries them: at most EXACT_SCAN_MAX each.
+    counted = persisted(reach.counts(), "counted")
+    # Ids are only listed for principals whose plan carries them: at most EXACT_SCAN_MAX each.
     few = counted.where(F.col("n") <= min(cap, EXACT_SCAN_MAX)).select("principal")
-    ids = reached.join(few, "principal").groupBy("principal").agg(F.array_sort(F.collect_set("object")).alias("ids"))
+    ids = reach.objects(few).groupBy("principal").agg(F.array_sort(F.collect_list("object")).alias("ids"))
     n = F.coalesce(F.col("n"), F.lit(0))
     p = tokens.join(counted, "principal", "left").join(ids, "principal", "left")
     strategy = choose_strategy(n, n > cap, F.lit(corpus))

@@ -64,7 +64,7 @@ def embed_dedup_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that stand in the index already count as done."""
-    t = table(spark, sf, "tuples")
+    t = graph.oriented(table(spark, sf, "tuples"))
     docs = table(spark, sf, "documents").select("object_ref", "text")
     refs = docs.select(F.col("object_ref").alias("object")).where("object is not null").distinct()
     done = table(spark, sf, "chunks").where("object_ref is not null").select("object_ref")

@@ -16,6 +16,11 @@ def _tuples(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "tuples")
 
 
+def _policy(spark: SparkSession, sf: str) -> DataFrame:
+    """The tuples with containment in one spelling, for walks that read it one way."""
+    return graph.oriented(_tuples(spark, sf))
+
+
 def _joined(c: str):
     return F.array_join(F.array_sort(c), ",")
 
@@ -68,49 +73,49 @@ def implied_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def closure_hops(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.principal_closure(_tuples(spark, sf)).select("principal", "userset", F.col("hop").cast("int").alias("hop"))
+    return graph.principal_closure(_policy(spark, sf)).select("principal", "userset", F.col("hop").cast("int").alias("hop"))
 
 
 def expand_leaves(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     return graph.expand_leaves(graph.objects_of(t), t).select("object", "subject", F.col("depth").cast("int").alias("depth"))
 
 
 def expand_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     return graph.expand_nodes(graph.objects_of(t), t).select("object", "node", F.col("depth").cast("int").alias("depth"), "relation", _joined("subjects").alias("subjects"))
 
 
-def expand_one_way(spark: SparkSession, sf: str) -> DataFrame:
-    """Containment read in the declared direction only."""
+def expand_symmetric(spark: SparkSession, sf: str) -> DataFrame:
+    """Containment read both ways, in whichever spelling it comes: siblings share their grants."""
     t = _tuples(spark, sf)
-    return graph.expand_leaves(graph.objects_of(t), t, default_namespaces(False)).select("object", "subject", F.col("depth").cast("int").alias("depth"))
+    return graph.expand_leaves(graph.objects_of(t), t, default_namespaces(True)).select("object", "subject", F.col("depth").cast("int").alias("depth"))
 
 
 def check_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """How many principals may view each document, and at what cost."""
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     pairs = graph.check_pairs(graph.objects_of(t), t)
     return pairs.groupBy("object").agg(F.count("*").alias("n_allowed"), F.min("cost").cast("int").alias("least_cost"), F.max("cost").cast("int").alias("most_cost"))
 
 
 def check_explain(spark: SparkSession, sf: str) -> DataFrame:
     """Per principal the allowed documents by cost."""
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     pairs = graph.check_pairs(graph.objects_of(t), t)
     return pairs.groupBy("principal", F.col("cost").cast("int").alias("cost")).agg(F.count("*").alias("n"))
 
 
 def check_depth_limits(spark: SparkSession, sf: str) -> DataFrame:
     """Allowed pairs under depth limits 1, 2, 4, 8 and 16."""
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     pairs = persisted(graph.check_pairs(graph.objects_of(t), t), "checks")
     limits = spark.createDataFrame([(x,) for x in (1, 2, 4, 8, 16)], "max_depth int")
     return pairs.join(F.broadcast(limits), F.col("cost") <= F.col("max_depth")).groupBy("max_depth").agg(F.count("*").alias("n_allowed"))
 
 
 def reachable_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.reachable_objects(_tuples(spark, sf)).groupBy("principal").agg(F.count("*").alias("n_docs"))
+    return graph.Reach(_policy(spark, sf)).counts().withColumnRenamed("n", "n_docs")
 
 
 def _corpus(t: DataFrame) -> int:
@@ -118,25 +123,25 @@ def _corpus(t: DataFrame) -> int:
 
 
 def plan_strategy(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     return compiler.compile_plans(t, _corpus(t)).select("principal", "strategy", "estimated_cardinality")
 
 
 def plan_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     p = compiler.compile_plans(t, _corpus(t))
     return p.select("principal", _joined("grant_tokens").alias("grant_tokens"), _joined("explicit_ids").alias("explicit_ids"))
 
 
 def stamp_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     return compiler.stamp_tokens(graph.objects_of(t), t).select("object", _joined("grant_tokens").alias("grant_tokens"))
 
 
 def oracle_strata(spark: SparkSession, sf: str) -> DataFrame:
     """Plan and token verdicts against the live check, over all principals and documents that either
     allows, by the size of the closure; disagreements are counted, never sampled."""
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     docs = persisted(graph.objects_of(t), "docs")
     live = graph.check_pairs(docs, t).select("object", "principal", F.lit(True).alias("live"))
     plan = graph.reachable_objects(t).select("object", "principal", F.lit(True).alias("planned"))
@@ -158,7 +163,7 @@ def oracle_strata(spark: SparkSession, sf: str) -> DataFrame:
 
 def retokenised_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose token set changes when all editors are removed."""
-    t = _tuples(spark, sf)
+    t = _policy(spark, sf)
     docs = persisted(graph.objects_of(t), "docs")
     before, after = (compiler.stamp_tokens(docs, x).withColumnRenamed("grant_tokens", n) for x, n in ((t, "before"), (t.where("relation <> 'editor'"), "after")))
     return before.join(after, "object", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("object", F.size("before").alias("n_before"), F.size("after").alias("n_after"))
@@ -173,14 +178,19 @@ def policy_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 _VALUES = ", ".join(f"('{n}', '{h}', '{t}')" for n, h, t in implies_rows(default_namespaces()))
 
-_T = f"""implies(ns, held_rel, target_rel) AS (VALUES {_VALUES}),
+_SOURCE = "SELECT DISTINCT * FROM tuples"
+_TURN = "relation = 'parent' AND object_ns = 'folder' AND principal_ns = 'doc' AND principal_rel = ''"
+_ORIENTED = f"""SELECT * FROM tuples WHERE NOT ({_TURN})
+  UNION SELECT principal_ns, principal_id, relation, object_ns, object_id, principal_rel FROM tuples WHERE {_TURN}"""
+_T0 = f"""implies(ns, held_rel, target_rel) AS (VALUES {_VALUES}),
 t AS (SELECT u.*, object_ns || ':' || object_id AS obj,
   principal_ns || ':' || principal_id || CASE WHEN principal_rel <> '' THEN '#' || principal_rel ELSE '' END AS who,
   coalesce(target_rel, relation) AS target
-  FROM tuples u LEFT JOIN implies ON ns = object_ns AND held_rel = relation),
+  FROM ({_SOURCE}) u LEFT JOIN implies ON ns = object_ns AND held_rel = relation),
 keys AS (SELECT DISTINCT who AS node FROM t WHERE principal_rel <> ''),
 docs AS (SELECT DISTINCT obj AS object FROM t WHERE object_ns = 'doc'),
 grants AS (SELECT DISTINCT obj AS container, who AS subject FROM t WHERE target = 'viewer')"""
+_T = _T0.replace(_SOURCE, _ORIENTED)
 
 
 def _reach(depth: int) -> str:
@@ -191,7 +201,7 @@ reach(root, node, hop) AS (SELECT DISTINCT who, who, 0 FROM t
 closure AS (SELECT root AS principal, node AS userset, min(hop) AS hop FROM reach GROUP BY ALL)"""
 
 
-def _up(depth: int, both: bool = True) -> str:
+def _up(depth: int, both: bool = False) -> str:
     back = "UNION SELECT who, obj FROM t WHERE relation = 'parent' AND principal_rel = '' AND principal_ns IN ('doc', 'folder')" if both else ""
     return f"""cedges(src, dst) AS (SELECT obj, principal_ns || ':' || principal_id FROM t WHERE relation = 'parent' AND object_ns IN ('doc', 'folder') {back}),
 upw(object, container, depth) AS (SELECT object, object, 0 FROM docs
@@ -226,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tuple_parse, tuple_apply, tuple_apply_count, tuple_stats, tuple_read_forward, tuple_read_reverse, list_objects, subject_keys, implied_relations,
-        closure_hops, expand_leaves, expand_nodes, expand_one_way, check_matrix, check_explain, check_depth_limits, reachable_docs, plan_strategy,
+        closure_hops, expand_leaves, expand_nodes, expand_symmetric, check_matrix, check_explain, check_depth_limits, reachable_docs, plan_strategy,
         plan_tokens, stamp_tokens, oracle_strata, retokenised_docs, policy_delta,
     )
 }
@@ -242,15 +252,15 @@ SQL = {
     "tuple_apply_count": f"WITH {_APPLIED} SELECT (SELECT count(*) FROM owners) + (SELECT count(*) FROM (SELECT * FROM written EXCEPT SELECT * FROM left_)) AS n_applied",
     "tuple_stats": "SELECT count(*) AS tuples, count(DISTINCT (object_ns, object_id)) AS objects, count(DISTINCT (principal_ns, principal_id, principal_rel)) AS principals, CAST(0 AS BIGINT) AS epoch FROM tuples",
     "tuple_read_forward": f"SELECT {_TEXT} AS tuple FROM tuples WHERE (object_ns, object_id) IN (SELECT (object_ns, object_id) FROM tuples WHERE relation = 'parent' AND object_ns = 'doc')",
-    "tuple_read_reverse": f"WITH {_T} SELECT who AS principal, relation, count(*) AS n FROM (SELECT DISTINCT obj, relation, who FROM t) GROUP BY ALL",
+    "tuple_read_reverse": f"WITH {_T0} SELECT who AS principal, relation, count(*) AS n FROM (SELECT DISTINCT obj, relation, who FROM t) GROUP BY ALL",
     "list_objects": "SELECT object_ns, count(DISTINCT object_id) AS n_objects FROM tuples GROUP BY ALL",
-    "subject_keys": f"WITH {_T} SELECT node FROM keys",
-    "implied_relations": f"WITH {_T} SELECT object_ns, target AS target_rel, count(*) AS n FROM t GROUP BY ALL",
+    "subject_keys": f"WITH {_T0} SELECT node FROM keys",
+    "implied_relations": f"WITH {_T0} SELECT object_ns, target AS target_rel, count(*) AS n FROM t GROUP BY ALL",
     "closure_hops": f"WITH RECURSIVE {_T}, {_reach(8)} SELECT principal, userset, hop FROM closure",
     "expand_leaves": f"WITH RECURSIVE {_T}, {_up(8)} SELECT object, subject, depth FROM leaves",
     "expand_nodes": f"""WITH RECURSIVE {_T}, {_up(8)} SELECT object, container AS node, depth, relation, array_to_string(list_sort(list(DISTINCT who)), ',') AS subjects
       FROM up JOIN t ON obj = container WHERE target = 'viewer' GROUP BY ALL""",
-    "expand_one_way": f"WITH RECURSIVE {_T}, {_up(8, False)} SELECT object, subject, depth FROM leaves",
+    "expand_symmetric": f"WITH RECURSIVE {_T0}, {_up(8, True)} SELECT object, subject, depth FROM leaves",
     "check_matrix": _CHECK + "SELECT object, count(*) AS n_allowed, min(cost) AS least_cost, max(cost) AS most_cost FROM pairs GROUP BY object",
     "check_explain": _CHECK + "SELECT principal, cost, count(*) AS n FROM pairs GROUP BY ALL",
     "check_depth_limits": _CHECK + "SELECT max_depth, count(*) AS n_allowed FROM pairs JOIN (VALUES (1), (2), (4), (8), (16)) l(max_depth) ON cost <= max_depth GROUP BY max_depth",

@@ -15,7 +15,7 @@ from quillrock.generation import Claim, CircuitBreaker, Ledger, ProviderChain, b
 from quillrock.model import TUPLE_COLUMNS
 from quillrock.operators import audit, ingest
 from quillrock.operators.policystore import PolicyStore
-from quillrock.operators.search import Unchecked, permitted_top_k, secured, upserted
+from quillrock.operators.search import Unchecked, permitted_pairs, top_k_of_pairs, upserted
 from quillrock.plans.compiler import stamp_tokens
 from quillrock.sources import read_jsonl, read_maildir
 from quillrock.streaming.reindex import CHANGES, reindex
@@ -33,7 +33,7 @@ def world(spark):
     vec = lambda i: [1.0 if j == i else 0.1 for j in range(64)]
     rows = [(i + 1, f"ch{i}", f"doc:{d}", d, x, vec(i)) for i, (d, x) in enumerate(TEXTS.items())]
     chunks = spark.createDataFrame(rows, "row_id bigint, chunk_id string, object_ref string, object_id string, text string, embedding array<float>")
-    chunks = chunks.join(stamp_tokens(objects, t).withColumnRenamed("object", "object_ref"), "object_ref").localCheckpoint() if False else chunks.join(stamp_tokens(objects, t).withColumnRenamed("object", "object_ref"), "object_ref")
+    chunks = chunks.join(stamp_tokens(objects, t).withColumnRenamed("object", "object_ref"), "object_ref")
     return store, chunks.cache(), vec
 
 
@@ -78,11 +78,11 @@ def test_injection_is_refused_by_name(spark, world):
 def test_search_forms(spark, world):
     _, chunks, vec = world
     plans = spark.createDataFrame([("user:x", "grant_tokens", [], []), ("user:y", "enumerate", [], ["doc:merger"])], "principal string, strategy string, grant_tokens array<string>, explicit_ids array<string>")
-    got = secured(chunks).under(plans).select("principal", "c.object_ref").collect()
+    got = permitted_pairs(chunks, plans).join(chunks.select("row_id", "object_ref"), "row_id").select("principal", "object_ref").collect()
     assert [tuple(r) for r in got] == [("user:y", "doc:merger")]
-    pairs = chunks.select(F.lit(1).alias("query_id"), "row_id", "embedding")
-    q = spark.createDataFrame([(1, vec(2))], "query_id int, q array<float>")
-    assert permitted_top_k(pairs, q, 1).first().row_id == 3 and permitted_top_k(pairs, q, 0).count() == 0
+    pairs = chunks.select(F.lit("user:z").alias("principal"), "row_id")
+    q = spark.createDataFrame([(1, vec(2), "user:z")], "query_id int, embedding array<float>, principal string")
+    assert top_k_of_pairs(pairs, chunks, q, 1).first().row_id == 3 and top_k_of_pairs(pairs, chunks, q, 0).count() == 0
     base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "row_id bigint, chunk_id string, text string")
     change = spark.createDataFrame([(9, "a", "z"), (10, "c", None)], "row_id bigint, chunk_id string, text string")
     assert sorted((r.row_id, r.chunk_id, r.text) for r in upserted(base, change).collect()) == [(1, "a", "z"), (2, "b", "y"), (10, "c", None)]
@@ -141,6 +141,11 @@ def test_guard_and_metrics(spark):
     assert "​" not in clean and "<|im_start|>" not in clean
     assert guard.injections(clean) == [] or not {n for n, s, *_ in guard.injections(clean) if s >= guard.HIGH}
     r = guard.redact("card 4111 1111 1111 1111 and 4111 1111 1111 1112, a@b.example, 10.0.0.1, 10.0.0.999")
+    folded, origin = guard.normalised("\u200bﬁne\u00a0 \n x")
+    assert folded == "fine\nx" and origin.tolist() == [1, 1, 2, 3, 4, 8]
+    assert guard.normalised("")[0] == "" and guard.normalised("\u200b")[1].tolist() == []
+    a = spark.createDataFrame([("pay 4111 1111 1111 1111 by a@b.example",), ("order 4111 1111 1111 1112",), (None,)], "t string").select(guard.audit_redacted(F.col("t")).alias("r")).collect()
+    assert a[0].r == "pay [REDACTED:CARD] by [REDACTED:EMAIL]" and "CARD" not in a[1].r and a[2].r is None
     assert r.count("[CREDIT_CARD:") == 1 and "[EMAIL:" in r and "[IP_ADDRESS:" in r and "10.0.0.999" in r
     assert len(guard.redact_for_log("x" * 500)) == 200
     df = spark.createDataFrame([("12 weeks at full pay", "26 weeks at full pay for staff with 12 months service"), ("staff are entitled to leave", "staff are not entitled to leave"), ("the of", "x"), ("costs 1,200", "it costs £1200"), (None, "x")], "c string, e string")
