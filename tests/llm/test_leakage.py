@@ -3,21 +3,34 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillrock.llm import leakage as L
 
 
 def test_index_against_scanning():
     r = np.random.default_rng(2)
-    for n, symbols, depth in ((1, 2, 1), (50, 3, 4), (400, 5, 10), (300, 2, 7)):
-        seq = r.integers(0, symbols, n)
+    for n, symbols, depth in ((1, 2, 1), (50, 3, 4), (400, 5, 10), (300, 2, 7), (900, 9, 2)):
+        seq = r.integers(0, symbols, n) if n != 900 else np.tile(r.integers(1, symbols, 90), 10)
         seq[-1] = 0
-        index = L.FMIndex(seq, symbols, depth)
+        ends = np.flatnonzero(seq == 0)
+        full = lambda i: [*seq[i : ends[np.searchsorted(ends, i)]].tolist(), 0, int(i)]
+        key = lambda i: [(x, 0) for x in full(i)[:-2]] + [(0, int(ends[np.searchsorted(ends, i)]))]
+        assert L.suffix_order(seq).tolist() == sorted(range(n), key=key)
+        index = L.FMIndex.of(seq, symbols)
         phrases = r.integers(1, symbols, (60, depth)) if symbols > 1 else np.ones((1, depth), int)
         lo, hi = index.search(phrases)
         for p, a, b in zip(phrases, lo, hi):
             want = [i for i in range(n - depth + 1) if (seq[i : i + depth] == p).all()]
-            assert sorted(index.suffixes[a:b].tolist()) == want
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_an_index_serves_other_items_later(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "c d e f")], "doc_id bigint, text string")
+    index = L.index_shards(docs)
+    one = spark.createDataFrame([(7, "x c d e y")], "item_id bigint, passage string")
+    assert sorted(tuple(x) for x in L.search_shards(index, one, 3).collect()) == [(1, 7, 2, 5), (2, 7, 0, 3)]
+    assert L.search_shards(index, one.withColumn("passage", F.lit("d e f")), 2).count() == 2
 
 
 def words(t):
