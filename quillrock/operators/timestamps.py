@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from quillrock.session import broadcast_if_bounded
 
 DAY_US = 86_400_000_000
-#: Years for which offset intervals are listed; the first and last interval of a zone reach beyond.
-FIRST_YEAR, LAST_YEAR = 1850, 2200
+#: Years for which offset intervals are listed. Before them a zone has one offset; after them its rule
+#: repeats with the calendar, every ``CYCLE`` years, so that any other year is looked up in one of these.
+FIRST_YEAR, LAST_YEAR, CYCLE = 1850, 2500, 400
+CYCLE_US = 146_097 * DAY_US
 
 #: Month names of the four languages of the mail (English, German, French, Spanish).
 MONTHS: dict[str, int] = {
@@ -117,7 +119,7 @@ def zone_segments(zones: list[str], first: int = FIRST_YEAR, last: int = LAST_YE
 
 def zone_intervals(spark: SparkSession, zones: list[str]) -> tuple[DataFrame, int]:
     """The segments of the named zones as a table, with its row count. There are about 600
-    zones of at most 1,100 pieces each, whatever the size of the data."""
+    zones of at most 2,000 pieces each, whatever the size of the data."""
     rows = zone_segments(zones)
     schema = "tz string, local_year int, lo_us bigint, hi_us bigint, offset_us bigint, n_offsets int"
     return spark.createDataFrame(rows, schema), len(rows)
@@ -202,12 +204,13 @@ def normalise_timestamps(
     clock that its zone skipped give no row. A wall clock that occurred twice is the earlier
     instant. A date without zone whose exporter is null, unknown or has no such zone gives no
     row; where the exporter's order is null an all-numeric date is read month first. A row
-    that stands twice comes out twice. Extra columns are not read. Beyond the listed years a
-    wall clock has no interval, hence no row; dates with an offset are not bound by that.
-    Exporters listed twice count once (the smallest zone name).
+    that stands twice comes out twice. Extra columns are not read. Any
+    year from 1 to 9999 has its offset: those before the listed ones the zone's first, those after
+    them that of the same day a whole number of calendar cycles earlier. Exporters listed twice count once (the smallest zone name).
     """
     spark = rows.sparkSession
-    zones = [r[0] for r in exporters.select("tz").where("tz is not null").distinct().limit(5000).collect()]
+    # as many as there are zone names at most
+    zones = [r[0] for r in exporters.select("tz").where(F.col("tz").isin(sorted(available_timezones()))).distinct().collect()]
     intervals, n = zone_intervals(spark, zones)
     # One row per exporter; as many as there are exporters, so it is only hinted when counted small.
     ex = exporters.groupBy(F.col("exporter_id").alias("__ex")).agg(
@@ -218,17 +221,19 @@ def normalise_timestamps(
     base = base.where(F.col("__date").isNotNull()).join(ex, F.col("__x") == F.col("__ex"), "left")
     base = base.select("__id", "__tz", "__date", F.coalesce("__order", F.lit("mdy")).alias("__order"))
     d = with_parsed_date(base, "__date", "__order").drop("__date", "__order")
-    d = d.withColumn(
-        "__year",
-        F.when(F.col("epoch_us").isNull() & F.col("offset_us").isNull(), F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("local_us") / DAY_US).cast("int")))),
-    )
+    # the wall clock by which the interval is looked up
+    first, last = (F.lit(int((datetime(y, 1, 1, tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds()) * 1_000_000) for y in (FIRST_YEAR, LAST_YEAR + 1))
+    wall = F.when(F.col("epoch_us").isNull() & F.col("offset_us").isNull(), F.col("local_us"))
+    over = F.ceil((wall - last + 1) / CYCLE_US).cast("bigint")
+    d = d.withColumn("__wall", F.when(wall < first, first - 100 * DAY_US).when(wall >= last, wall - over * CYCLE_US).otherwise(wall))
+    d = d.withColumn("__year", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("__wall") / DAY_US).cast("int"))))
     seg = broadcast_if_bounded(
         intervals.select(F.col("tz").alias("__z"), "local_year", "lo_us", "hi_us", F.col("offset_us").alias("__seg_offset")), n, 600_000
     )
     j = d.join(
         seg,
         (F.col("__tz") == F.col("__z")) & (F.col("__year") == F.col("local_year"))
-        & (F.col("local_us") >= F.col("lo_us")) & (F.col("local_us") < F.col("hi_us")),
+        & (F.col("__wall") >= F.col("lo_us")) & (F.col("__wall") < F.col("hi_us")),
         "left",
     )
     utc = F.coalesce("epoch_us", F.col("local_us") - F.coalesce("offset_us", "__seg_offset"))

@@ -67,3 +67,16 @@ def test_segments_agree_with_the_zone(zone):
         assert len(hits) == 1 and hits[0][1] == datetime.fromtimestamp(local / 1e6, timezone.utc).year
         both = {instant.replace(fold=f).utcoffset().total_seconds() * 10**6 for f in (0, 1)}
         assert hits[0][4] == max(both) and hits[0][5] == len(both)
+
+
+def test_years_beyond_the_listed_ones(spark):
+    zones = {1: "America/Chicago", 2: "Europe/Berlin", 3: "Australia/Sydney"}
+    ex = spark.createDataFrame([(k, "x", z, "mdy") for k, z in zones.items()], "exporter_id int, exporter string, tz string, date_order string")
+    at = [(y, m, 17, 13, 5, 9) for y in (500, 1700, 1849, 1850, 2199, 2201, 2499, 2501, 2600, 2999, 9998) for m in (1, 7)]
+    rows = [(len(zones) * i + k, k, "{:04}-{:02}-{:02} {:02}:{:02}:{:02}".format(*a)) for i, a in enumerate(at) for k in zones]
+    got = {r.row_id: r.utc_us for r in normalise_timestamps(spark.createDataFrame(rows, "row_id bigint, exporter_id int, date string"), ex).collect()}
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    for i, a in enumerate(at):
+        for k, z in zones.items():
+            d = datetime(*a, tzinfo=ZoneInfo(z)).astimezone(timezone.utc) - epoch
+            assert got[len(zones) * i + k] == (d.days * 86_400 + d.seconds) * 1_000_000, (a, z)
