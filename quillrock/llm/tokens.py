@@ -2,27 +2,30 @@
 
 Forced-boundary splitting: a pair of adjacent bytes that stands inside no token of the
 vocabulary can never be merged across, so a text may be cut there, its fragments encoded
-independently and the ids concatenated. A cut must also be a cut of the tokenizer's
-pre-splitting pattern; that holds between a printable ASCII character and a blank or line
-feed (the pattern takes blanks only in front of a run or alone, and looks ahead only after
-blanks). Which of these pairs are certain is read from the vocabulary.
+independently and the ids concatenated. A cut must not change how the tokenizer's pattern
+splits either; that is certain between a printable ASCII character and a blank or line feed
+(the pattern takes blanks only in front of a run or alone, and looks ahead only after blanks),
+and between two letters of one run, where both sides are runs of letters still; of these the
+Chinese characters of ``LETTERS`` are used. Which pairs are forced is read from the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: The pre-splitting pattern that belongs to the byte-level vocabularies.
 BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Least characters of a fragment: short ones cost a call each, long ones memory.
-FRAGMENT = 2048
+#: Least bytes of a fragment: short ones cost a call each, long ones memory.
+FRAGMENT = 512
+#: First bytes of the letters U+5000 to U+8FFF, three bytes each, between which a run may be cut.
+LETTERS = (0xE5, 0xE8)
 
 
 @lru_cache(maxsize=4)
@@ -38,27 +41,42 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
 
 
-def forced_pairs(ranks: dict[bytes, int]) -> set[tuple[int, int]]:
-    """Pairs (printable ASCII, blank or line feed) that stand inside no token."""
-    inside = {(t[i], t[i + 1]) for t in ranks for i in range(len(t) - 1)}
-    return {(a, b) for a in range(0x21, 0x7F) for b in (0x20, 0x0A)} - inside
-
-
-@lru_cache(maxsize=8)
-def _splitter(path: str, least: int) -> re.Pattern:
-    """Matches one fragment: ``least`` characters and on to the next forced cut, or the rest."""
-    pairs = forced_pairs(_ranks(path))
-    before = {b: "".join(re.escape(chr(a)) for a in range(0x21, 0x7F) if (a, b) in pairs) for b in (0x20, 0x0A)}
-    cuts = [rf"(?<=[{ends}])(?={re.escape(chr(b))})" for b, ends in before.items() if ends]
-    return re.compile(rf"(?s).{{{least},}}?(?:{'|'.join(cuts)})|.+" if cuts else r"(?s).+")
+@lru_cache(maxsize=4)
+def _forced(path: str) -> np.ndarray:
+    """256 x 256: the pairs of bytes that stand inside no token."""
+    forced = np.ones((256, 256), bool)
+    for token in _ranks(path):
+        b = np.frombuffer(token, np.uint8)
+        forced[b[:-1], b[1:]] = False
+    return forced
+
+
+def cuts(data: bytes, forced: np.ndarray) -> np.ndarray:
+    """The certain cuts of a text: offsets of the byte behind each."""
+    b = np.frombuffer(data, np.uint8)
+    if len(b) < 2:
+        return np.zeros(0, np.int64)
+    x, y = b[:-1], b[1:]
+    blank = (x > 0x20) & (x < 0x7F) & ((y == 0x20) | (y == 0x0A))
+    letter = np.zeros(len(x), bool)
+    letter[2:] = (b[:-3] >= LETTERS[0]) & (b[:-3] <= LETTERS[1]) & (y[2:] >= LETTERS[0]) & (y[2:] <= LETTERS[1])
+    return np.flatnonzero((blank | letter) & forced[x, y]) + 1
+
+
+def fragments(text: str, path: str, least: int = FRAGMENT) -> list[str]:
+    """The text cut at certain cuts, so that every fragment but the last has ``least`` bytes or more."""
+    data = text.encode()
+    at = cuts(data, _forced(path))
+    out, start = [], 0
+    while (k := int(np.searchsorted(at, start + least))) < len(at):
+        out.append(data[start : at[k]].decode())
+        start = int(at[k])
+    return [*out, data[start:].decode()]
 
 
 def encode_text(text: str, path: str, pattern: str, least: int = FRAGMENT) -> list[int]:
     """The ids of one text by fragments; equal to encoding the whole text."""
-    encode = _encoder(path, pattern).encode_ordinary
-    if len(text) <= least:
-        return encode(text)
-    return list(chain.from_iterable(map(encode, _splitter(path, least).findall(text))))
+    return list(chain.from_iterable(map(_encoder(path, pattern).encode_ordinary, fragments(text, path, least))))
 
 
 def encode_corpus(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

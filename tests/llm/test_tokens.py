@@ -3,7 +3,7 @@ import random
 import pytest
 
 from quillrock.llm.queries import TOKENIZERS
-from quillrock.llm.tokens import BYTE_BPE_PATTERN, _encoder, _ranks, encode_corpus, encode_text, forced_pairs
+from quillrock.llm.tokens import BYTE_BPE_PATTERN, _encoder, _forced, _ranks, cuts, encode_corpus, encode_text, fragments
 
 PATH = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
@@ -20,9 +20,21 @@ def test_fragments_equal_whole(least):
 
 
 def test_pairs_stand_in_no_token():
-    ranks = _ranks(PATH)
-    for a, b in forced_pairs(ranks):
-        assert not any(bytes((a, b)) in t for t in ranks)
+    forced = _forced(PATH)
+    assert not any(forced[t[i], t[i + 1]] for t in _ranks(PATH) for i in range(len(t) - 1))
+    assert forced.any()
+
+
+def test_chinese_and_mixed_texts_are_cut():
+    """Runs of letters without a blank, and texts on both sides of the least size."""
+    whole = _encoder(PATH, BYTE_BPE_PATTERN)
+    r = random.Random(8)
+    for size in (10, 511, 512, 513, 5_000):
+        t = "".join(chr(r.randrange(0x4E00, 0xA000)) for _ in range(size))
+        for text in (t, f"it's {t}'s 12{t}34 {t}", "x" + t + "\u3000" + t):
+            assert encode_text(text, PATH, BYTE_BPE_PATTERN, 64) == whole.encode_ordinary(text)
+            assert "".join(fragments(text, PATH, 64)) == text
+    assert len(fragments(t, PATH, 64)) > 20 and len(cuts(t.encode(), _forced(PATH))) > 100
 
 
 def test_operator(spark):
