@@ -16,7 +16,17 @@ FEED = 3
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     from quillrock.llm.personal import personal_spans
 
-    return personal_spans(table(spark, sf, "messages"), table(spark, sf, "roster")).select("row_id", "kind", "char_start")
+    spans = personal_spans(table(spark, sf, "messages"), table(spark, sf, "roster"))
+    return spans.where(F.col("kind").isin("email", "phone", "id_number", "street_address", "person")).select("row_id", "kind", "char_start")
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The bodies with placeholders, as their digests, and how many placeholders each has."""
+    from quillrock.llm.personal import redacted
+
+    r = redacted(table(spark, sf, "messages"), table(spark, sf, "roster"))
+    marks = F.regexp_count("redacted", F.lit(r"\[(?:EMAIL|PHONE|ID_NUMBER|STREET_ADDRESS|PERSON|CARD_NUMBER|BANK_ACCOUNT)\]"))
+    return r.select("row_id", F.md5("redacted").alias("redacted_md5"), F.coalesce(marks, F.lit(0)).alias("n_placeholders"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +76,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_characters(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 _CLEAN = """lower(regexp_replace(regexp_replace(CASE WHEN regexp_extract(x, '<([^<>]*@[^<>]*)>', 1) <> '' THEN regexp_extract(x, '<([^<>]*@[^<>]*)>', 1) ELSE x END, '[<>"''\\s\\p{Z}]+', '', 'g'), '\\.{2,}', '.', 'g'))"""
 SQL: dict[str, str] = {
     "p4_found": f"""
