@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 from quillrock.model import TUPLE_COLUMNS
 from quillrock.operators.deliveries import addresses, canonical_id, clean_address
+from quillrock.session import persisted
 
 # Fixed values.
 MIN_GROUP_SIZE = 3
 MIN_GROUP_SUPPORT = 4
 SUBJECT_CHARS = 200
-QUOTE_MARKERS = ("-----Original Message-----", "---------------------- Forwarded by", "----- Forwarded by", "\n> ", "\nFrom: ")
+QUOTE_MARKERS = ("-----Original Message-----", "---------------------- Forwarded by", "----- Forwarded by", "-----Forwarded by", "\n> ")
+LIST_NAMES = (
+    r"all[._-].*", r".*[._-]dl", r"dl[._-].*", r".*employees.*", r".*announcements?.*", r".*distribution.*", r".*[._-]team", r"everyone", r"staff",
+    r"undisclosed[._-]recipients",
+)
+LIST_PATTERN = f"^({'|'.join(LIST_NAMES)})$"
 MESSAGES = (
     "message_id string, subject string, sender string, `to` array<string>, cc array<string>, date string, body string, mailboxes array<string>, source_paths array<string>"
 )
@@ -28,22 +34,58 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def _inside(address: Column, domain: str) -> Column:
+    host = F.substring_index(address, "@", -1)
+    return (host == domain) | host.endswith(f".{domain}")
+
+
 def is_distribution_list(address: Column, domain: str) -> Column:
     """Whether an address of the named domain (or one under it) names a list rather than a person."""
-    local, host = F.substring_index(address, "@", 1), F.substring_index(address, "@", -1)
-    inside = (host == domain) | host.endswith(f".{domain}")
-    return F.coalesce(inside & local.rlike(r"^(?:all|everyone|dl|list|team)\b|[._-](?:all|dl|list|team|group|employees|desk)$|^(?:dl|list)[._-]"), F.lit(False))
-
-
-def principal_of(address: Column, domain: str) -> Column:
-    """``group:dl_<slug>#member`` of a list, ``user:<slug>`` of an inside address, and of an outside one
-    ``user:`` with its domain, so that the two are never one."""
-    local, host = F.substring_index(address, "@", 1), F.substring_index(address, "@", -1)
-    inside = (host == domain) | host.endswith(f".{domain}")
-    outside = slug(F.replace(address, F.lit("@"), F.lit("-at-")))
-    return F.when(is_distribution_list(address, domain), F.concat(F.lit("group:dl_"), slug(local), F.lit("#member"))).otherwise(
-        F.concat(F.lit("user:"), F.when(inside, slug(local)).otherwise(outside))
-    )
+    return F.coalesce(_inside(address, domain) & F.substring_index(address, "@", 1).rlike(f"(?i){LIST_PATTERN}"), F.lit(False))
+
+
+def digest(c: Column, size: int) -> Column:
+    """BLAKE2b of ``size`` bytes in hexadecimal."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=size).hexdigest())
+
+    return run(c)
+
+
+def message_object(message_id: Column, row_id: Column) -> Column:
+    """``doc:`` and the digest of the identifier in its bracketed lower-case form; a message without
+    identifier has the digest of its row."""
+    name = F.coalesce(F.concat(F.lit("<"), canonical_id(message_id), F.lit(">")), F.concat(F.lit("row "), row_id.cast("string")))
+    return F.concat(F.lit("doc:"), digest(name, 8))
+
+
+def mentions(messages: DataFrame) -> DataFrame:
+    """``row_id, pos, address`` of the sender (``pos`` 0) and the recipients of merged messages."""
+    to = F.transform(addresses("to", "cc"), lambda a, i: F.struct((i + 1).alias("pos"), a.alias("address")))
+    sender = F.struct(F.lit(0).alias("pos"), clean_address(F.col("sender")).alias("address"))
+    return messages.select("row_id", F.inline(F.concat(F.array(sender), to))).where("address is not null")
+
+
+def address_principals(messages: DataFrame, domain: str) -> DataFrame:
+    """``address, n, is_list, base, nth, principal`` of all addresses of merged messages.
+
+    ``group:dl_<slug>#member`` of a list, ``user:<slug>`` of an inside address, and of an outside one
+    ``user:`` with its domain. Where several addresses come to one slug the first seen (by message
+    and place) keeps it and the others (``nth`` > 1) get a digest of theirs, so that two people are
+    never one principal; an address without a letter or digit is named by its digest.
+    """
+    a = F.col("address")
+    local = F.substring_index(a, "@", 1)
+    seen = mentions(messages).groupBy("address").agg(F.min(F.struct("row_id", "pos")).alias("first"), F.count("*").alias("n"))
+    base = F.when(is_distribution_list(a, domain) | _inside(a, domain), slug(local)).otherwise(slug(F.replace(a, F.lit("@"), F.lit("-at-"))))
+    seen = seen.withColumn("is_list", is_distribution_list(a, domain)).withColumn("base", base)
+    same = Window.partitionBy("is_list", F.when(F.col("base") == "", a).otherwise(F.col("base"))).orderBy("first")
+    seen = seen.withColumn("nth", F.row_number().over(same))
+    user = F.when(F.col("base") == "", digest(a, 6)).when(F.col("nth") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), digest(a, 3)))
+    principal = F.when(F.col("is_list"), F.concat(F.lit("group:dl_"), "base", F.lit("#member"))).otherwise(F.concat(F.lit("user:"), user))
+    return seen.select("address", "n", "is_list", "base", "nth", principal.alias("principal"))
 
 
 def merged_messages(messages: DataFrame) -> DataFrame:
@@ -79,27 +121,92 @@ def document_text() -> Column:
     return F.when(head == "", F.col("body")).otherwise(F.concat(head, F.lit("\n\n"), F.coalesce(F.col("body"), F.lit(""))))
 
 
-def recipient_sets(messages: DataFrame, domain: str) -> DataFrame:
-    """``people``, ``support``: recurring recipient sets of at least ``MIN_GROUP_SIZE`` people on at least
-    ``MIN_GROUP_SUPPORT`` messages; lists are no people."""
-    every = addresses("to", "cc")
-    people = F.array_sort(F.array_distinct(F.transform(F.filter(every, lambda a: ~is_distribution_list(a, domain)), lambda a: principal_of(a, domain))))
-    sets = messages.select(people.alias("people")).where(F.size("people") >= MIN_GROUP_SIZE)
-    return sets.groupBy("people").agg(F.count("*").alias("support")).where(F.col("support") >= MIN_GROUP_SUPPORT)
+class Derivation:
+    """What mail implies about access, over merged messages (``merged_messages``).
+
+    The people of a message are the owners of the mailboxes that hold it, its sender and its
+    recipients. A set of people that recurs becomes a group; a list becomes a group of the
+    owners of mailboxes that hold mail to it. A list in the sender field grants, but no membership
+    follows from it. Messages without anybody are skipped.
+    """
 
+    def __init__(self, messages: DataFrame, domain: str, min_size: int = MIN_GROUP_SIZE, min_support: int = MIN_GROUP_SUPPORT):
+        self.messages, self.min_size, self.min_support = messages, min_size, min_support
+        self.principals = persisted(address_principals(messages, domain), "addresses")
+        named = mentions(messages).join(self.principals.select("address", "is_list", "principal"), "address")
+        named = persisted(named.select("row_id", "pos", "is_list", "principal").distinct(), "mentions")
+        owners = messages.select("row_id", F.explode("mailboxes").alias("m")).select("row_id", slug(F.col("m")).alias("m")).where("m <> ''")
+        self.owners = owners.select("row_id", F.concat(F.lit("user:"), "m").alias("principal")).distinct()
+        persons = self.owners.unionByName(named.where("not is_list").select("row_id", "principal"))
+        self.people = persisted(persons.groupBy("row_id").agg(F.array_sort(F.collect_set("principal")).alias("people")), "people")
+        self.lists = named.where("is_list")
+        sets = self.people.where(F.size("people") >= min_size).groupBy("people").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+        self.sets = persisted(sets.select("people", "support", F.concat(F.lit("rs_"), digest(F.array_join("people", "\0"), 6)).alias("group")), "sets")
+        listed = self.lists.where("pos > 0").select("row_id", F.col("principal").alias("list")).distinct()
+        held = listed.join(self.owners, "row_id").groupBy("list").agg(F.array_sort(F.collect_set("principal")).alias("people"))
+        of_lists = held.select(F.substring_index(F.substring_index("list", ":", -1), "#", 1).alias("group"), "people")
+        self.groups = persisted(of_lists.unionByName(self.sets.select("group", "people")), "groups")
+        self.nested = persisted(nested_groups(self.groups), "nested")
+
+    def viewers(self) -> DataFrame:
+        """``row_id, principal, kind`` (``list``, ``set`` or ``person``): who may view each message.
+
+        Where the people are a group, the group is named, and the owners beside it.
+        """
+        matched = self.people.join(self.sets.select("people", "group"), "people", "left")
+        whole = matched.where("`group` is not null")
+        return (
+            self.lists.select("row_id", "principal").distinct().withColumn("kind", F.lit("list"))
+            .unionByName(whole.select("row_id", F.concat(F.lit("group:"), "group", F.lit("#member")).alias("principal"), F.lit("set").alias("kind")))
+            .unionByName(self.owners.join(whole.select("row_id"), "row_id", "left_semi").select("row_id", "principal", F.lit("person").alias("kind")))
+            .unionByName(matched.where("`group` is null").select("row_id", F.explode("people").alias("principal"), F.lit("person").alias("kind")))
+        )
+
+    def tuples(self) -> DataFrame:
+        named = self.messages.select("row_id", message_object(F.col("message_id"), F.col("row_id")).alias("object"))
+        as_group = F.concat(F.lit("group:"), F.col("group"))
+        every = (
+            self.nested.select(as_group.alias("object"), F.lit("member").alias("relation"), F.explode("rest").alias("principal"))
+            .unionByName(self.nested.select(as_group.alias("object"), F.lit("member").alias("relation"), F.explode("subgroups").alias("g")).select("object", "relation", F.concat(F.lit("group:"), "g", F.lit("#member")).alias("principal")))
+            .unionByName(self.viewers().join(named, "row_id").select("object", F.lit("viewer").alias("relation"), "principal"))
+        )
+        who = F.col("principal")
+        return every.distinct().select(
+            F.substring_index("object", ":", 1).alias("object_ns"), F.substring("object", F.instr("object", ":") + 1, F.length("object")).alias("object_id"), "relation",
+            F.substring_index(who, ":", 1).alias("principal_ns"), F.substring_index(F.substring(who, F.instr(who, ":") + 1, F.length(who)), "#", 1).alias("principal_id"),
+            F.when(who.contains("#"), F.substring_index(who, "#", -1)).otherwise("").alias("principal_rel"),
+        ).select(*TUPLE_COLUMNS)
+
+    def stats(self) -> DataFrame:
+        """One row of counters."""
+        v = persisted(self.viewers(), "viewers")
+        one = lambda df, c, name: df.agg(c.cast("bigint").alias(name))
+        parts = [
+            one(self.messages, F.count("*"), "messages"), one(v, F.count_distinct("row_id"), "documents"),
+            one(self.groups, F.count("*"), "groups"), one(self.groups.where("`group` like 'dl\\_%'"), F.count("*"), "groups_from_lists"), one(self.sets, F.count("*"), "groups_from_sets"),
+            one(self.nested, F.coalesce(F.sum(F.size("subgroups")), F.lit(0)), "nested_edges"), one(v.where("kind <> 'person'"), F.count("*"), "grants_via_group"),
+            one(v.where("kind = 'person'"), F.count("*"), "grants_direct"), one(v, F.count_distinct("principal"), "principals"),
+        ]
+        out = parts[0]
+        for p in parts[1:]:  # one row each
+            out = out.crossJoin(p)
+        return out.withColumn("skipped", F.col("messages") - F.col("documents"))
 
-def group_id(people: Column) -> Column:
-    return F.concat(F.lit("g_"), F.substring(F.md5(F.array_join(people, ",")), 1, 16))
+
+def recipient_sets(messages: DataFrame, domain: str) -> DataFrame:
+    """``people, support`` of the recurring sets of people."""
+    return Derivation(messages, domain).sets.select("people", "support")
 
 
 def nested_groups(groups: DataFrame) -> DataFrame:
-    """``group, subgroup, rest``: a group directly contains the largest groups that lie in what is left of
-    it, chosen greedily by size and then id; ``rest`` are its members by themselves.
+    """``group, subgroups, rest``: a group directly contains the largest groups of two members or more that
+    lie in what is left of it, chosen greedily by size and then id; ``rest`` are its members by
+    themselves.
 
     Candidate pairs come from the shared first member of the smaller group, not from all pairs.
     """
     g = groups.select("group", "people")
-    first = g.select(F.col("group").alias("subgroup"), F.col("people").alias("subpeople"), F.element_at("people", 1).alias("m"))
+    first = g.where(F.size("people") > 1).select(F.col("group").alias("subgroup"), F.col("people").alias("subpeople"), F.element_at("people", 1).alias("m"))
     each = g.select("group", "people", F.explode("people").alias("m"))
     inside = each.join(first, "m").where((F.size("subpeople") < F.size("people")) & (F.size(F.array_except("subpeople", "people")) == 0))
     ordered = F.array_sort(F.collect_list(F.struct((-F.size("subpeople")).alias("n"), "subgroup", "subpeople")))
@@ -115,44 +222,7 @@ def nested_groups(groups: DataFrame) -> DataFrame:
 
 
 def derived_tuples(messages: DataFrame, domain: str) -> DataFrame:
-    """Tuples that mail implies, over merged messages: owners of mailboxes and people written to may view;
-    a recurring recipient set becomes a group; a list becomes a group that its mailboxes' owners belong to.
-
-    A list in the sender field grants, but no membership follows from it.
-    """
-    people = F.array_sort(F.array_distinct(F.transform(F.filter(addresses("to", "cc"), lambda a: ~is_distribution_list(a, domain)), lambda a: principal_of(a, domain))))
-    lists = F.array_distinct(F.transform(F.filter(addresses("to", "cc"), lambda a: is_distribution_list(a, domain)), lambda a: principal_of(a, domain)))
-    owners = F.array_distinct(F.transform(F.filter(F.coalesce("mailboxes", F.array().cast("array<string>")), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("user:"), slug(x))))
-    sender = clean_address(F.col("sender"))
-    m = messages.where(canonical_id("message_id").isNotNull()).select(
-        F.concat(F.lit("doc:"), F.substring(F.md5(canonical_id("message_id")), 1, 16)).alias("object"), people.alias("people"), lists.alias("lists"), owners.alias("owners"),
-        F.when(sender.isNotNull(), principal_of(sender, domain)).alias("sender"),
-    )
-    groups = recipient_sets(messages.where(canonical_id("message_id").isNotNull()), domain).select("people", group_id(F.col("people")).alias("group"))
-    nested = nested_groups(groups)
-    edge = lambda df, o, rel, p: df.select(o.alias("object"), F.lit(rel).alias("relation"), p.alias("principal"))
-    with_group = m.join(groups, "people", "left")
-    as_group = lambda c: F.concat(F.lit("group:"), c)
-    member = lambda c: F.concat(F.lit("group:"), c, F.lit("#member"))
-    parts = [
-        edge(nested.select("group", F.explode("rest").alias("p")), as_group(F.col("group")), "member", F.col("p")),
-        edge(nested.select("group", F.explode("subgroups").alias("s")), as_group(F.col("group")), "member", member(F.col("s"))),
-        edge(m.select("object", F.explode("owners").alias("p")), F.col("object"), "owner", F.col("p")),
-        edge(m.where("sender is not null"), F.col("object"), "viewer", F.col("sender")),
-        edge(m.select("object", F.explode("lists").alias("p")), F.col("object"), "viewer", F.col("p")),
-        edge(m.select(F.explode("lists").alias("l"), "owners").select("l", F.explode("owners").alias("p")), F.substring_index("l", "#", 1), "member", F.col("p")),
-        edge(with_group.where("`group` is not null"), F.col("object"), "viewer", member(F.col("group"))),
-        edge(with_group.where("`group` is null").select("object", F.explode("people").alias("p")), F.col("object"), "viewer", F.col("p")),
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    who = F.col("principal")
-    return every.distinct().select(
-        F.substring_index("object", ":", 1).alias("object_ns"), F.substring("object", F.instr("object", ":") + 1, F.length("object")).alias("object_id"), "relation",
-        F.substring_index(who, ":", 1).alias("principal_ns"), F.substring_index(F.substring(who, F.instr(who, ":") + 1, F.length(who)), "#", 1).alias("principal_id"),
-        F.when(who.contains("#"), F.substring_index(who, "#", -1)).otherwise("").alias("principal_rel"),
-    ).select(*TUPLE_COLUMNS)
+    return Derivation(messages, domain).tuples()
 
 
 # --- readers
@@ -197,9 +267,14 @@ JSON_FIELDS = {
 }
 
 
+#: A text that begins like this is a mail with its header.
+MAIL_HEAD = re.compile(r"(?i)(?:message-id|date|from|to|subject|cc|received|x-[\w-]+|mime-version|return-path):[ \t]")
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of JSON lines; blank, malformed and non-object lines are skipped. Raises if no line has
-    any of the known body fields, naming the fields that were seen."""
+    """Messages of JSON lines; blank, malformed and non-object lines are skipped. A body that is a whole
+    mail is read as such; fields beside it come first. Raises if no line has any of the known body
+    fields, naming the fields that were seen."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     known = sorted({n for names in JSON_FIELDS.values() for n in names})
     read = lines.select(F.from_json("value", F.lit("map<string,string>"), {"mode": "PERMISSIVE"}).alias("m")).where("m is not null")
@@ -208,12 +283,21 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     if not read.isEmpty() and rows.where("body is not null").isEmpty():
         seen = sorted(r[0] for r in read.select(F.explode(F.map_keys("m")).alias("k")).distinct().limit(50).collect())
         raise ValueError(f"no body field among {known}; seen: {seen}")
-    key = F.coalesce("message_id", F.concat(F.lit("<"), F.substring(F.sha2("body", 256), 1, 16), F.lit(">")))
+    names = ["message_id", "subject", "sender", "to", "cc", "date", "body"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for given in b.to_dict("records"):
+                mail = _rfc822(given["body"].encode(), "") if MAIL_HEAD.match(given["body"]) else None
+                mail = mail or {"to": [], "cc": [], "body": given["body"], "message_id": f"<{hashlib.blake2b(given['body'].encode(), digest_size=8).hexdigest()}>"}
+                out.append({n: given.get(n) or mail.get(n) or "" for n in names if n not in ("to", "cc", "body")} | {n: mail[n] for n in ("to", "cc", "body")} | {"mailbox": given["mailbox"]})
+            yield pd.DataFrame(out, columns=[*names, "mailbox"])
+
+    schema = "message_id string, subject string, sender string, `to` array<string>, cc array<string>, date string, body string, mailbox string"
+    read_ = rows.where("body is not null").select("message_id", "subject", "sender", "date", "body", "mailbox").mapInPandas(run, schema)
     none = F.array().cast("array<string>")
-    return rows.where("body is not null").select(
-        key.alias("message_id"), F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("sender", F.lit("")).alias("sender"), none.alias("to"), none.alias("cc"),
-        F.coalesce("date", F.lit("")).alias("date"), "body", F.when(F.col("mailbox").isNotNull(), F.array("mailbox")).otherwise(none).alias("mailboxes"), none.alias("source_paths"),
-    )
+    return read_.select(*names, F.when(F.col("mailbox").isNotNull(), F.array("mailbox")).otherwise(none).alias("mailboxes"), none.alias("source_paths"))
 
 
 def questions(rows: DataFrame) -> DataFrame:

@@ -21,9 +21,14 @@ def dedupe_merge(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("row_id", "kept_row_id", "n_copies", F.array_join("mailboxes", ",").alias("mailboxes"), F.array_join("source_paths", ",").alias("source_paths"))
 
 
+#: A principal that shares its slug ends in a digest, which SQL cannot compute: shown as ``~``.
+_DIGEST = "-[0-9a-f]{6}$"
+
+
 def recipient_groups(spark: SparkSession, sf: str) -> DataFrame:
     g = mail.recipient_sets(mail.merged_messages(_messages(spark, sf)), DOMAIN)
-    return g.select(F.array_join("people", ",").alias("people"), "support")
+    shown = F.array_sort(F.transform("people", lambda p: F.regexp_replace(p, _DIGEST, "~")))
+    return g.select(F.array_join(shown, ",").alias("people"), "support")
 
 
 def derived_tuples(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,12 +36,18 @@ def derived_tuples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derived_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return derived_tuples(spark, sf).groupBy("object_ns", "relation", "principal_ns", "principal_rel").agg(F.count("*").alias("n"))
+    """Grants by kind: to lists, to recurring sets, to persons."""
+    d = mail.Derivation(mail.merged_messages(_messages(spark, sf)), DOMAIN)
+    return d.viewers().groupBy("kind").agg(F.count("*").alias("n_grants"), F.count_distinct("row_id").alias("n_messages"), F.count_distinct("principal").alias("n_principals"))
+
+
+def derivation_stats(spark: SparkSession, sf: str) -> DataFrame:
+    stats = mail.Derivation(mail.merged_messages(_messages(spark, sf)), DOMAIN).stats()
+    return stats.select("messages", "documents", "skipped", "groups", "groups_from_lists", "groups_from_sets", "grants_via_group", "grants_direct", "principals")
 
 
 def address_principals(spark: SparkSession, sf: str) -> DataFrame:
-    a = _messages(spark, sf).select(F.explode(mail.addresses("to", "cc")).alias("address"))
-    return a.groupBy("address").agg(F.count("*").alias("n")).select("address", "n", mail.principal_of(F.col("address"), DOMAIN).alias("principal"))
+    return mail.address_principals(mail.merged_messages(_messages(spark, sf)), DOMAIN).select("address", "n", "is_list", "base", "nth")
 
 
 def document_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +109,7 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_merge, recipient_groups, derived_tuples, derived_counts, address_principals, document_texts, chunk_texts, hash_features, hash_embeddings,
+        dedupe_merge, recipient_groups, derived_tuples, derived_counts, derivation_stats, address_principals, document_texts, chunk_texts, hash_features, hash_embeddings,
         embed_dedup_counts, ingest_report, question_rows, upsert_last_wins, index_stats,
     )
 }
@@ -109,13 +120,28 @@ _ADDR = f"""list_distinct(list_filter(list_transform(list_concat(coalesce("to",
 _CID = r"nullif(lower(regexp_replace(message_id, '[<>\s\p{Z}]+', '', 'g')), '')"
 _SLUG = lambda c: f"regexp_replace(regexp_replace(lower(trim({c})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _INSIDE = "(split_part(a, '@', -1) = 'enronix.example' OR split_part(a, '@', -1) LIKE '%.enronix.example')"
-_DL = f"({_INSIDE} AND regexp_matches(split_part(a, '@', 1), '^(?:all|everyone|dl|list|team)\\b|[._-](?:all|dl|list|team|group|employees|desk)$|^(?:dl|list)[._-]'))"
-_PRINCIPAL = f"""CASE WHEN {_DL} THEN 'group:dl_' || {_SLUG("split_part(a, '@', 1)")} || '#member'
-  WHEN {_INSIDE} THEN 'user:' || {_SLUG("split_part(a, '@', 1)")} ELSE 'user:' || {_SLUG("replace(a, '@', '-at-')")} END"""
+_DL = f"({_INSIDE} AND regexp_matches(split_part(a, '@', 1), '{mail.LIST_PATTERN}', 'i'))"
 _MERGED = f"""m0 AS (SELECT *, coalesce({_CID}, '#' || row_id) AS k, len({_ADDR}) AS n FROM messages),
 best AS (SELECT k, min(row_id) AS row_id, count(*) AS n_copies, arg_max(row_id, (n, -row_id)) AS kept FROM m0 GROUP BY k)"""
-_NAMES = lambda c: f"""(SELECT string_agg(x, ',' ORDER BY r, i) FROM (SELECT x, arg_min(i, (row_id, i)) AS i, min(row_id) AS r FROM
-  (SELECT row_id, unnest({c}) AS x, generate_subscripts({c}, 1) AS i FROM m0 WHERE m0.k = best.k) WHERE x IS NOT NULL GROUP BY x))"""
+_PEOPLE = f"""{_MERGED},
+kept AS (SELECT best.row_id, k, sender AS x, "to", cc FROM best JOIN messages ON messages.row_id = kept),
+said AS (SELECT row_id, 0 AS pos, {_CLEAN} AS a FROM kept UNION ALL SELECT row_id, generate_subscripts(l, 1), unnest(l) FROM (SELECT row_id, {_ADDR} AS l FROM kept)),
+mentions AS (SELECT * FROM said WHERE contains(a, '@')),
+seen AS (SELECT a, count(*) AS n, min(row_id * 100000 + pos) AS first, {_DL} AS is_list,
+  CASE WHEN {_INSIDE} THEN {_SLUG("split_part(a, '@', 1)")} ELSE {_SLUG("replace(a, '@', '-at-')")} END AS base FROM mentions GROUP BY a),
+principals AS (SELECT *, row_number() OVER (PARTITION BY is_list, CASE WHEN base = '' THEN a ELSE base END ORDER BY first) AS nth FROM seen),
+named AS (SELECT DISTINCT row_id, pos > 0 AS to_, is_list, CASE WHEN is_list THEN 'group:dl_' || base || '#member' WHEN nth > 1 OR base = '' THEN 'user:' || base || '~' || a ELSE 'user:' || base END AS p,
+  CASE WHEN nth > 1 THEN 'user:' || base || '~' ELSE 'user:' || regexp_replace(base, '-[0-9a-f]{{6}}$', '~') END AS shown FROM mentions JOIN principals USING (a)),
+owners AS (SELECT DISTINCT row_id, 'user:' || s AS p, 'user:' || regexp_replace(s, '-[0-9a-f]{{6}}$', '~') AS shown FROM
+  (SELECT best.row_id, {_SLUG("m")} AS s FROM (SELECT k, unnest(mailboxes) AS m FROM m0) JOIN best USING (k)) WHERE s <> ''),
+persons AS (SELECT row_id, p, shown FROM owners UNION SELECT row_id, p, shown FROM named WHERE NOT is_list),
+people AS (SELECT row_id, list_sort(list(p)) AS people, list_sort(list(shown)) AS shown FROM persons GROUP BY row_id),
+sets AS (SELECT people, any_value(shown) AS shown, count(*) AS support FROM people WHERE len(people) >= {mail.MIN_GROUP_SIZE} GROUP BY people HAVING count(*) >= {mail.MIN_GROUP_SUPPORT}),
+lists AS (SELECT DISTINCT named.p FROM named JOIN owners o USING (row_id) WHERE is_list AND to_),
+viewers AS (SELECT DISTINCT row_id, p, 'list' AS kind FROM named WHERE is_list
+  UNION ALL SELECT row_id, array_to_string(people, ' '), 'set' FROM people WHERE people IN (SELECT people FROM sets)
+  UNION ALL SELECT row_id, p, 'person' FROM owners WHERE row_id IN (SELECT row_id FROM people WHERE people IN (SELECT people FROM sets))
+  UNION ALL SELECT row_id, unnest(people), 'person' FROM people WHERE people NOT IN (SELECT people FROM sets))"""
 _UNITS = """w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1) AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS u FROM w UNION ALL SELECT doc_id, unnest([w[i] || '_' || w[i + 1] for i in range(1, len(w))]) FROM w)"""
 
@@ -124,9 +150,13 @@ SQL = {
       mb AS (SELECT k, string_agg(x, ',' ORDER BY r, i) AS s FROM (SELECT k, x, min(row_id) AS r, arg_min(i, (row_id, i)) AS i FROM (SELECT k, row_id, unnest(mailboxes) AS x, generate_subscripts(mailboxes, 1) AS i FROM m0) WHERE x IS NOT NULL GROUP BY k, x) GROUP BY k),
       sp AS (SELECT k, string_agg(x, ',' ORDER BY r, i) AS s FROM (SELECT k, x, min(row_id) AS r, arg_min(i, (row_id, i)) AS i FROM (SELECT k, row_id, unnest(source_paths) AS x, generate_subscripts(source_paths, 1) AS i FROM m0) WHERE x IS NOT NULL GROUP BY k, x) GROUP BY k)
       SELECT row_id, kept AS kept_row_id, n_copies, mb.s AS mailboxes, sp.s AS source_paths FROM best LEFT JOIN mb USING (k) LEFT JOIN sp USING (k)""",
-    "recipient_groups": f"""WITH {_MERGED}, p AS (SELECT list_sort(list_distinct(list_transform(list_filter({_ADDR}, lambda a: NOT {_DL}), lambda a: {_PRINCIPAL}))) AS people FROM best JOIN messages ON messages.row_id = kept)
-      SELECT array_to_string(people, ',') AS people, count(*) AS support FROM p WHERE len(people) >= {mail.MIN_GROUP_SIZE} GROUP BY people HAVING count(*) >= {mail.MIN_GROUP_SUPPORT}""",
-    "address_principals": f"WITH e AS (SELECT unnest({_ADDR}) AS a FROM messages) SELECT a AS address, count(*) AS n, {_PRINCIPAL} AS principal FROM e GROUP BY a",
+    "recipient_groups": f"WITH {_PEOPLE} SELECT array_to_string(shown, ',') AS people, support FROM sets",
+    "address_principals": f"WITH {_PEOPLE} SELECT a AS address, n, is_list, base, nth FROM principals",
+    "derived_counts": f"WITH {_PEOPLE} SELECT kind, count(*) AS n_grants, count(DISTINCT row_id) AS n_messages, count(DISTINCT p) AS n_principals FROM viewers GROUP BY kind",
+    "derivation_stats": f"""WITH {_PEOPLE} SELECT (SELECT count(*) FROM best) AS messages, (SELECT count(DISTINCT row_id) FROM viewers) AS documents,
+      (SELECT count(*) FROM best) - (SELECT count(DISTINCT row_id) FROM viewers) AS skipped, (SELECT count(*) FROM lists) + (SELECT count(*) FROM sets) AS groups,
+      (SELECT count(*) FROM lists) AS groups_from_lists, (SELECT count(*) FROM sets) AS groups_from_sets, (SELECT count(*) FROM viewers WHERE kind <> 'person') AS grants_via_group,
+      (SELECT count(*) FROM viewers WHERE kind = 'person') AS grants_direct, (SELECT count(DISTINCT p) FROM viewers) AS principals""",
     "document_texts": f"""WITH h AS (SELECT row_id, body, subject, concat_ws(chr(10), CASE WHEN length(subject) > 0 THEN 'Subject: ' || subject END, CASE WHEN length(sender) > 0 THEN 'From: ' || sender END,
       CASE WHEN length(array_to_string("to", ', ')) > 0 THEN 'To: ' || array_to_string("to", ', ') END, CASE WHEN length(array_to_string(cc, ', ')) > 0 THEN 'Cc: ' || array_to_string(cc, ', ') END,
       CASE WHEN length(date) > 0 THEN 'Date: ' || date END) AS head FROM messages)
