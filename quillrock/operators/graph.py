@@ -165,22 +165,37 @@ def check_pairs(
     return leaves.join(members, "subject").where(cost <= max_depth).groupBy("object", "principal").agg(F.min(cost).alias("cost"))
 
 
-def check_hits(
+def why(
     pairs: DataFrame, tuples: DataFrame, namespaces: dict[str, Namespace] | None = None, relation: str = "viewer", max_depth: int = MAX_DEPTH
 ) -> DataFrame:
-    """``object, principal, cost`` of the allowed ones of the given ``object, principal`` pairs, as
-    ``check_pairs`` but from both ends: only the objects and principals of the pairs are walked, and
-    rows are made only for them."""
+    """``object, principal, cost, depth, hop, container, subject`` of the allowed ones of the given
+    ``object, principal`` pairs: the cheapest way, which leads over ``depth`` containers to ``container``,
+    whose tuple names ``subject``, of which the principal is a member by ``hop`` hops. Of equal ways
+    the one of the least depth, then container, then subject.
+
+    It goes from both ends: only the objects and principals of the pairs are walked, and rows are
+    made only for them.
+    """
     ns = namespaces or default_namespaces()
     pairs = persisted(pairs.select("object", "principal").distinct(), "pairs")
     up = containers(pairs.select("object").distinct(), tuples, ns, max_depth)
     grants = direct_grants(tuples, ns, relation).withColumnRenamed("object", "container")
-    leaves = persisted(up.join(grants, "container").groupBy("object", "subject").agg(F.min("depth").alias("depth")), "leaves")
+    ways = up.join(grants, "container").groupBy("object", "subject").agg(F.min(F.struct("depth", "container")).alias("way"))
+    leaves = persisted(ways.select("object", "subject", "way.*"), "leaves")
     asked = pairs.select("principal").distinct()
     members = closure_of(asked, tuples, ns, max_depth).select("principal", F.col("userset").alias("subject"), "hop")
     cost = F.col("depth") + F.col("hop")
     allowed = pairs.join(leaves, "object").join(members, ["principal", "subject"]).where(cost <= max_depth)
-    return allowed.groupBy("object", "principal").agg(F.min(cost).alias("cost"))
+    best = F.min(F.struct(cost.alias("cost"), "depth", "container", "subject", "hop")).alias("w")
+    return allowed.groupBy("object", "principal").agg(best).select("object", "principal", "w.cost", "w.depth", "w.hop", "w.container", "w.subject")
+
+
+def check_hits(
+    pairs: DataFrame, tuples: DataFrame, namespaces: dict[str, Namespace] | None = None, relation: str = "viewer", max_depth: int = MAX_DEPTH
+) -> DataFrame:
+    """``object, principal, cost`` of the allowed ones of the given ``object, principal`` pairs, as
+    ``check_pairs`` but from both ends."""
+    return why(pairs, tuples, namespaces, relation, max_depth).select("object", "principal", "cost")
 
 
 def closure_of(asked: DataFrame, tuples: DataFrame, namespaces: dict[str, Namespace], depth: int = SUBJECT_DEPTH) -> DataFrame:

@@ -143,9 +143,14 @@ def hash_embedding(texts: list[str | None], dim: int = 384, seed: int = 0) -> np
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def text_key(text: Column, dim: int = 384, seed: int = 0) -> Column:
+    """Under which the vector of a text is cached: equal for equal texts of one embedder."""
+    return F.sha2(F.concat(F.lit(f"hash-{seed}\0{dim}\0"), text), 256)
+
+
 def embedded(chunks: DataFrame, cache: DataFrame | None = None, dim: int = 384, seed: int = 0) -> DataFrame:
     """``key, embedding`` of each distinct text not in ``cache`` (``key``), ready to be joined or appended."""
-    key = F.sha2(F.concat(F.lit(f"hash-{seed}\0{dim}\0"), F.col("text")), 256)
+    key = text_key(F.col("text"), dim, seed)
     distinct = chunks.where("text is not null").select(key.alias("key"), "text").dropDuplicates(["key"])
     if cache is not None:
         distinct = distinct.join(cache.select("key"), "key", "left_anti")

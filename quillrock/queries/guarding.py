@@ -27,7 +27,7 @@ def pii_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def redacted_documents(spark: SparkSession, sf: str) -> DataFrame:
     r = guard.redacted_texts(table(spark, sf, "documents"), "doc_id", guard.INGEST_KINDS)
-    return r.select("id", F.length("redacted").alias("n_chars"))
+    return r.select("id", F.md5("redacted").alias("redacted_md5"), F.coalesce(F.regexp_count("redacted", F.lit(r"\[[A-Z_]+:[0-9a-f]{6}\]")), F.lit(0)).alias("n_marks"))
 
 
 def audit_redaction(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,7 +127,7 @@ def audit_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.histogram(table(spark, sf, "events"), "event_type", F.col("value") / 100)
+    return audit.histogram(table(spark, sf, "events"), "event_type", F.col("value") / 100).withColumn("sum", F.round("sum", 4))
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +135,7 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metrics_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.exposition(latency_histogram(spark, sf), "event_type", "latency_seconds")
+    return audit.exposition(latency_histogram(spark, sf), "event_type", "latency_seconds", "Latency of events.")
 
 
 def _cost() -> "F.Column":
@@ -183,8 +183,8 @@ _JSON = """'{"event_id":' || event_id || ',"event_type":"' || event_type || '","
 _CHAIN = f"""ev AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS seq, {_JSON} AS json FROM events),
 ch AS (SELECT user_id, day, seq, json, repeat('0', 64) AS prev, sha256(repeat('0', 64) || chr(10) || json) AS digest FROM ev WHERE seq = 1
   UNION ALL SELECT ev.user_id, ev.day, ev.seq, ev.json, ch.digest, sha256(ch.digest || chr(10) || ev.json) FROM ch JOIN ev ON ev.user_id = ch.user_id AND ev.day = ch.day AND ev.seq = ch.seq + 1)"""
-_EDGES = ", ".join(f"({e}, '{e}')" for e in audit.LATENCY_EDGES)
-_HIST = f"SELECT event_type, l AS le, count(*) FILTER (value / 100 <= e) AS n FROM events, (VALUES {_EDGES}, (1e300, '+Inf')) x(e, l) WHERE value IS NOT NULL GROUP BY ALL"
+_EDGES = ", ".join(f"({e}, '{e:g}')" for e in audit.LATENCY_EDGES)
+_HIST = f"SELECT event_type, l AS le, count(*) FILTER (value / 100 <= e) AS n, round(sum(value / 100), 4) AS sum FROM events, (VALUES {_EDGES}, (1e300, '+Inf')) x(e, l) WHERE value IS NOT NULL GROUP BY ALL"
 
 SQL = {
     "injection_builtin": f"SELECT {_case([x for x in guard.BUILTIN_INJECTION])} AS rule, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
@@ -202,11 +202,18 @@ SQL = {
     "citations": "SELECT object_ref, chunk_id, min(row_id) AS first_row, count(*) AS times FROM chunks WHERE object_ref IS NOT NULL GROUP BY ALL",
     "query_hashes": r"SELECT item_id, 'u:' || substr(sha256('quillrock/query/v1' || chr(10) || lower(trim(regexp_replace(question, '\s+', ' ', 'g')))), 1, 32) AS hash FROM eval_items",
     "audit_chain": f"WITH RECURSIVE {_CHAIN} SELECT user_id, day, count(*) AS n, arg_max(digest, seq) AS head FROM ch GROUP BY ALL",
-    "audit_verify": f"WITH {_CHAIN.split('ch AS')[0].rstrip().rstrip(',')} SELECT user_id, day, count(*) AS n, CASE WHEN count(*) >= 3 THEN CAST(3 AS BIGINT) END AS first_bad, CASE WHEN count(*) >= 3 THEN 'content changed' END AS reason FROM ev GROUP BY ALL",
+    "audit_verify": f"""WITH RECURSIVE {_CHAIN}, bad AS (SELECT *, CASE WHEN seq % 3 = 0 THEN json || ' ' ELSE json END AS now FROM ch),
+      v AS (SELECT *, lag(digest) OVER w AS before, lag(seq) OVER w AS last FROM bad WINDOW w AS (PARTITION BY user_id, day ORDER BY seq)),
+      r AS (SELECT user_id, day, seq, CASE WHEN last IS NOT NULL AND seq <> last + 1 THEN 'sequence gap' WHEN prev <> coalesce(before, repeat('0', 64)) THEN 'broken link'
+        WHEN sha256(prev || chr(10) || now) <> digest THEN 'content changed' END AS reason FROM v)
+      SELECT user_id, day, count(*) AS n, min(seq) FILTER (reason IS NOT NULL) AS first_bad, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason FROM r GROUP BY ALL""",
     "audit_page": "SELECT event_id AS seq, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500",
     "latency_histogram": _HIST,
     "latency_percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
-    "metrics_lines": f"""SELECT 'latency_seconds_bucket{{event_type="' || event_type || '",le="' || le || '"}} ' || n AS line FROM ({_HIST})""",
+    "metrics_lines": f"""WITH h AS ({_HIST}) SELECT 'latency_seconds_bucket{{event_type="' || event_type || '",le="' || le || '"}} ' || n AS line FROM h
+      UNION ALL SELECT 'latency_seconds_sum{{event_type="' || event_type || '"}} ' || CAST(CAST(sum AS DECIMAL(38, 6)) AS VARCHAR) FROM h WHERE le = '+Inf'
+      UNION ALL SELECT 'latency_seconds_count{{event_type="' || event_type || '"}} ' || n FROM h WHERE le = '+Inf'
+      UNION ALL VALUES ('# HELP latency_seconds Latency of events.'), ('# TYPE latency_seconds histogram')""",
     "daily_spend": f"SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(sum({_COST}) AS BIGINT) AS spent, CAST(greatest(0, {tm.PRINCIPAL_TOKENS_A_DAY} - sum({_COST})) AS BIGINT) AS remaining FROM events GROUP BY ALL",
     "budget_admission": f"""WITH a AS (SELECT user_id, {_COST} AS c, coalesce(sum({_COST}) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
       SELECT user_id, count(*) FILTER (before + c <= 2000) AS admitted, count(*) FILTER (before + c > 2000) AS refused FROM a GROUP BY user_id""",

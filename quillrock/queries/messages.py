@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrock.operators import graph, ingest, mail
 from quillrock.plans import compiler
-from quillrock.session import table
+from quillrock.session import persisted, table
 
 DOMAIN = "enronix.example"
 
@@ -56,7 +56,7 @@ def document_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.coalesce("object_ref", F.concat(F.lit("doc:"), F.col("doc_id"))).alias("object_ref"), "text")
-    return ingest.chunked(d).select("chunk_id", "object_ref", "ordinal", "char_start", "char_end", "n_tokens")
+    return ingest.chunked(d).select("chunk_id", "object_ref", "ordinal", "char_start", "char_end", "n_tokens", F.md5("text").alias("text_md5"))
 
 
 def hash_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +66,8 @@ def hash_features(spark: SparkSession, sf: str) -> DataFrame:
 def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """Unit-length BLAKE2b embeddings of the distinct chunk texts."""
     e = ingest.embedded(table(spark, sf, "chunks").select("text"))
-    return e.select("key", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm2"), F.size("embedding").alias("dim"))
+    where = F.array_join(F.transform(F.filter(F.transform("embedding", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"] != 0), lambda s: F.concat(s["i"].cast("string"), F.when(s["x"] > 0, "+").otherwise("-"))), " ")
+    return e.select("key", F.md5(where).alias("signs_md5"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm2"), F.size("embedding").alias("dim"))
 
 
 def embed_dedup_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,9 +83,26 @@ def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.ingest_report(docs, compiler.stamp_tokens(refs, t), done)
 
 
+def ingest_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs of the whole pipeline over the documents: chunked, embedded, stamped, upserted, marked.
+    The second finds everything done; what is left in the index is counted from its rows."""
+    from quillrock.operators.index import ChunkIndex
+
+    t = graph.oriented(table(spark, sf, "tuples"))
+    docs = table(spark, sf, "documents").select("object_ref", "text")
+    refs = docs.select(F.col("object_ref").alias("object")).where("object is not null").distinct()
+    stamped = persisted(compiler.stamp_tokens(refs, t), "stamped")
+    index = ChunkIndex(spark)
+    first, second = index.run(docs, stamped), index.run(docs, stamped)
+    held = index.chunks().agg(F.count_distinct("object_ref").alias("n_objects"), F.count_if(F.col("object_ref").isNull() | (F.size("grant_tokens") == 0)).alias("n_open"))
+    names = ("seen", "skipped", "empty", "rejected", "indexed")
+    return held.select(*[F.lit(first[n]).cast("bigint").alias(n) for n in names], F.lit(second["skipped"]).cast("bigint").alias("skipped_again"), F.lit(second["indexed"]).cast("bigint").alias("indexed_again"), "n_objects", "n_open")
+
+
 def question_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out questions and answers, zipped from lists."""
-    e = table(spark, sf, "eval_items").select("item_id", F.array("question", F.lit(" ")).alias("questions"), F.array("answer").alias("answers"))
+    """Held-out questions and answers, zipped from lists that also hold an empty question and one without
+    an answer."""
+    e = table(spark, sf, "eval_items").select("item_id", F.array("question", F.lit(" "), "passage").alias("questions"), F.array("answer", F.lit("x")).alias("answers"))
     return mail.questions(e)
 
 
@@ -110,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dedupe_merge, recipient_groups, derived_tuples, derived_counts, derivation_stats, address_principals, document_texts, chunk_texts, hash_features, hash_embeddings,
-        embed_dedup_counts, ingest_report, question_rows, upsert_last_wins, index_stats,
+        embed_dedup_counts, ingest_report, ingest_run, question_rows, upsert_last_wins, index_stats,
     )
 }
 
@@ -164,18 +182,24 @@ SQL = {
     "hash_features": f"""WITH {_UNITS}, h AS (SELECT doc_id, md5(u) AS h FROM u)
       SELECT doc_id, CAST(('0x' || substr(h, 1, 8))::BIGINT % 64 AS INTEGER) AS idx, CAST(sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS value FROM h GROUP BY 1, 2 HAVING sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 1 THEN 1 ELSE -1 END) <> 0""",
     "embed_dedup_counts": "SELECT count(*) AS texts, count(DISTINCT text) AS computed, count(*) - count(DISTINCT text) AS deduplicated FROM chunks WHERE text IS NOT NULL",
-    "question_rows": "SELECT item_id, CAST(0 AS INTEGER) AS n, question, coalesce(answer, '') AS answer FROM eval_items WHERE trim(question) <> ''",
+    "question_rows": """SELECT item_id, CAST(0 AS INTEGER) AS n, question, coalesce(answer, '') AS answer FROM eval_items WHERE trim(question) <> ''
+      UNION ALL SELECT item_id, CAST(2 AS INTEGER), passage, '' FROM eval_items WHERE trim(passage) <> ''""",
     "upsert_last_wins": "SELECT min(row_id) AS row_id, chunk_id, arg_max(struct_pack(o := object_ref), row_id).o AS object_ref, md5(arg_max(struct_pack(t := text), row_id).t) AS text_md5 FROM chunks GROUP BY chunk_id",
     "index_stats": "SELECT count(*) AS n_rows, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT object_ref) AS n_objects, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS text_bytes, (SELECT count(DISTINCT t) FROM (SELECT unnest(grant_tokens) AS t FROM chunks)) AS n_tokens FROM chunks",
 }
 
 
-def _ingest_sql() -> str:
+def _ingest_sql() -> dict[str, str]:
     from quillrock.queries.permissions import _T, _up
 
-    return f"""WITH RECURSIVE {_T}, {_up(8)}, g AS (SELECT DISTINCT object FROM leaves), done AS (SELECT DISTINCT object_ref FROM chunks),
-      d AS (SELECT coalesce(regexp_matches(text, '\\S'), false) AS some_, g.object IS NOT NULL AS ok, done.object_ref IS NOT NULL AS was FROM documents LEFT JOIN g ON g.object = documents.object_ref LEFT JOIN done ON done.object_ref = documents.object_ref)
-      SELECT count(*) AS seen, count(*) FILTER (was) AS skipped, count(*) FILTER (NOT was AND NOT some_) AS empty, count(*) FILTER (NOT was AND some_ AND NOT ok) AS rejected, count(*) FILTER (NOT was AND some_ AND ok) AS indexed FROM d"""
+    def counted(done: str, more: str) -> str:
+        return f"""WITH RECURSIVE {_T}, {_up(8)}, g AS (SELECT DISTINCT object FROM leaves), done AS ({done}),
+      d AS (SELECT documents.object_ref, coalesce(regexp_matches(text, '\\S'), false) AS some_, g.object IS NOT NULL AS ok, done.object_ref IS NOT NULL AS was FROM documents LEFT JOIN g ON g.object = documents.object_ref LEFT JOIN done ON done.object_ref = documents.object_ref)
+      SELECT count(*) AS seen, count(*) FILTER (was) AS skipped, count(*) FILTER (NOT was AND NOT some_) AS empty, count(*) FILTER (NOT was AND some_ AND NOT ok) AS rejected, count(*) FILTER (NOT was AND some_ AND ok) AS indexed {more} FROM d"""
+
+    again = """, count(*) FILTER (object_ref IN (SELECT object_ref FROM d WHERE some_ AND ok)) AS skipped_again, CAST(0 AS BIGINT) AS indexed_again,
+      count(DISTINCT object_ref) FILTER (some_ AND ok) AS n_objects, CAST(0 AS BIGINT) AS n_open"""
+    return {"ingest_report": counted("SELECT DISTINCT object_ref FROM chunks", ""), "ingest_run": counted("SELECT NULL::VARCHAR AS object_ref WHERE false", again)}
 
 
-SQL["ingest_report"] = _ingest_sql()
+SQL |= _ingest_sql()

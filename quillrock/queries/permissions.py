@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrock.model import object_ref, parse_tuples, principal_ref, tuple_text
@@ -99,13 +99,27 @@ def check_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("object").agg(F.count("*").alias("n_allowed"), F.min("cost").cast("int").alias("least_cost"), F.max("cost").cast("int").alias("most_cost"))
 
 
-def check_explain(spark: SparkSession, sf: str) -> DataFrame:
+def check_costs(spark: SparkSession, sf: str) -> DataFrame:
     """Per principal the allowed documents by cost."""
     t = _policy(spark, sf)
     pairs = graph.check_pairs(graph.objects_of(t), t)
     return pairs.groupBy("principal", F.col("cost").cast("int").alias("cost")).agg(F.count("*").alias("n"))
 
 
+def check_explain(spark: SparkSession, sf: str) -> DataFrame:
+    """Why each staff member may view the documents that stand with them in a tuple, and some of the next
+    member's: the way that allows it, or none."""
+    t = _policy(spark, sf)
+    docs = t.where("object_ns = 'doc' and principal_ns = 'user'").select(object_ref().alias("object"), principal_ref().alias("principal"))
+    staff = table(spark, sf, "roster").select("principal").distinct().withColumn("next", F.lead("principal").over(Window.orderBy("principal")))  # 400 staff
+    asked = docs.unionByName(docs.join(F.broadcast(staff), "principal").where("next is not null").select("object", F.col("next").alias("principal"))).distinct()
+    asked = persisted(asked, "asked")
+    found = graph.why(asked, t)
+    return asked.join(found, ["object", "principal"], "left").select(
+        "object", "principal", F.col("cost").isNotNull().alias("allowed"), *[F.col(c).cast("int").alias(c) for c in ("cost", "depth", "hop")], "container", "subject"
+    )
+
+
 def check_depth_limits(spark: SparkSession, sf: str) -> DataFrame:
     """Allowed pairs under depth limits 1, 2, 4, 8 and 16."""
     t = _policy(spark, sf)
@@ -236,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tuple_parse, tuple_apply, tuple_apply_count, tuple_stats, tuple_read_forward, tuple_read_reverse, list_objects, subject_keys, implied_relations,
-        closure_hops, expand_leaves, expand_nodes, expand_symmetric, check_matrix, check_explain, check_depth_limits, reachable_docs, plan_strategy,
+        closure_hops, expand_leaves, expand_nodes, expand_symmetric, check_matrix, check_costs, check_explain, check_depth_limits, reachable_docs, plan_strategy,
         plan_tokens, stamp_tokens, oracle_strata, retokenised_docs, policy_delta,
     )
 }
@@ -262,7 +276,16 @@ SQL = {
       FROM up JOIN t ON obj = container WHERE target = 'viewer' GROUP BY ALL""",
     "expand_symmetric": f"WITH RECURSIVE {_T0}, {_up(8, True)} SELECT object, subject, depth FROM leaves",
     "check_matrix": _CHECK + "SELECT object, count(*) AS n_allowed, min(cost) AS least_cost, max(cost) AS most_cost FROM pairs GROUP BY object",
-    "check_explain": _CHECK + "SELECT principal, cost, count(*) AS n FROM pairs GROUP BY ALL",
+    "check_costs": _CHECK + "SELECT principal, cost, count(*) AS n FROM pairs GROUP BY ALL",
+    "check_explain": _CHECK
+    + """, own AS (SELECT DISTINCT obj AS object, who AS principal FROM t WHERE object_ns = 'doc' AND principal_ns = 'user'),
+      staff AS (SELECT principal, lead(principal) OVER (ORDER BY principal) AS next FROM (SELECT DISTINCT principal FROM roster)),
+      asked AS (SELECT * FROM own UNION SELECT object, next FROM own JOIN staff USING (principal) WHERE next IS NOT NULL),
+      members AS (SELECT principal, userset, hop FROM closure UNION SELECT principal, principal, 0 FROM asked),
+      ways AS (SELECT a.object, a.principal, w.depth + m.hop AS cost, w.depth, m.hop, w.container, w.subject FROM asked a
+        JOIN (SELECT object, container, subject, depth FROM up JOIN grants USING (container)) w ON w.object = a.object JOIN members m ON m.principal = a.principal AND m.userset = w.subject WHERE w.depth + m.hop <= 16),
+      best AS (SELECT *, row_number() OVER (PARTITION BY object, principal ORDER BY cost, depth, container, subject) AS k FROM ways)
+      SELECT a.object, a.principal, cost IS NOT NULL AS allowed, cost, depth, hop, container, subject FROM asked a LEFT JOIN (SELECT * FROM best WHERE k = 1) b ON b.object = a.object AND b.principal = a.principal""",
     "check_depth_limits": _CHECK + "SELECT max_depth, count(*) AS n_allowed FROM pairs JOIN (VALUES (1), (2), (4), (8), (16)) l(max_depth) ON cost <= max_depth GROUP BY max_depth",
     "reachable_docs": f"WITH RECURSIVE {_T}, {_reach(8)}, {_up(8)}, {_REACHABLE} SELECT principal, count(*) AS n_docs FROM reachable GROUP BY principal",
     "plan_strategy": _PLAN + "SELECT principal, strategy, estimated_cardinality FROM plans",
