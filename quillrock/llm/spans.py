@@ -6,8 +6,10 @@ windows have equal MinHashes at equal offsets, so one band of one MinHash has fu
 neighbouring windows share theirs: a text has about one run of windows (an anchor) per half
 window. Anchors whose MinHash stands in one text only are done. Runs of windows whose whole
 text is equal are one class, shared in full if it lies in two texts. What is left are runs at
-the edges of shared spans; of these, every window is compared by its own hash. The shared
-windows of a text are merged into the components that would be removed.
+the edges of shared spans. A window holds half its length of text before or behind its anchor,
+so a run whose text of that length on neither side stands at the same anchor in another text
+shares nothing; of the others every window on that side is compared by its own hash. The
+shared windows of a text are merged into the components that would be removed.
 
 Natural paragraphs cannot give exact spans (a span may cross them or lie inside one), hence
 the windows. Every grouping is a sorted stream over a hash partition. Groups that many texts
@@ -112,8 +114,8 @@ def _blocks(texts: list[str | None], span: int, block: int) -> Iterator[tuple[st
 
 def window_runs(texts: list[str | None], span: int, gram: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
     """``(row, MinHash, hash of the run, offset of the first window, distance from there to the
-    MinHash's position, number of windows, number with the repeats that follow)`` of all runs of
-    windows."""
+    MinHash's position, number of windows, number with the repeats that follow, hashes of the text
+    before and behind the MinHash)`` of all runs of windows."""
     w = span - gram + 1
     low = np.uint64((1 << _POS_BITS) - 1)
     for text, pieces in _blocks(texts, span, block):
@@ -130,6 +132,12 @@ def window_runs(texts: list[str | None], span: int, gram: int, block: int = BLOC
         last = np.append(first[1:], len(window)) - 1
         a, b, p, k = window[first], window[last], chosen[first], piece[first]
         head, whole, low_at, n = h[p], rolling.of(a, b + span), p - a, b - a + 1
+        # the text of half a window before and behind the anchor, where a window of the run holds it
+        half = (span - gram) // 2
+        before, behind = np.minimum(np.maximum(low_at - half + 1, 0), n) > 0, low_at - half + 1 < n
+        with np.errstate(over="ignore"):
+            left = mix(head * _BASE + np.where(before, rolling.of(np.maximum(p - half, 0), p), 0))
+            right = mix(mix(head) * _BASE + np.where(behind, rolling.of(p + gram, np.minimum(p + gram + half, len(text))), 0))
         # equal runs one after the other (a text that repeats itself) are one, of so many windows
         same = (head[1:] == head[:-1]) & (whole[1:] == whole[:-1]) & (n[1:] == n[:-1]) & (low_at[1:] == low_at[:-1]) & (k[1:] == k[:-1])
         one = np.flatnonzero(np.concatenate([[True], ~same]))
@@ -137,15 +145,20 @@ def window_runs(texts: list[str | None], span: int, gram: int, block: int = BLOC
         a, k = a[one], k[one]
         rows = np.array([r for r, _, _ in pieces])[k]
         offset = a - begin[k] + np.array([o for _, o, _ in pieces])[k]
-        yield rows, head[one], whole[one], offset, low_at[one], n[one], total
+        yield rows, head[one], whole[one], offset, low_at[one], n[one], total, left[one], right[one]
 
 
 #: What a run is: to be compared window by window, shared whole, or (besides) a partner to compare with.
 EDGE, WHOLE, PARTNER = 0, 1, 2
 
 
+#: Rows of runs: the number of windows ``n`` from ``at`` on; of each of them ``before`` hold the text
+#: hashed as ``left``, the others that hashed as ``right``.
+_FOUND = "doc bigint, at bigint, n bigint, kind int, extent bigint, left bigint, right bigint"
+
+
 def _classified(runs: DataFrame) -> DataFrame:
-    """``doc, at, n, kind`` of the runs that may be shared; ``n`` windows from ``at`` on.
+    """The runs that may be shared, with their ``kind``.
 
     Two members of each shared class are partners where its MinHash has edges too.
     """
@@ -166,8 +179,9 @@ def _classified(runs: DataFrame) -> DataFrame:
                 partners, has_edges = [], True
 
         def batch() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["doc", "at", "n", "kind"])
+            doc, at, extent, left, right, kind = (np.array(x, np.int64) for x in zip(*out))
+            columns = (doc, at >> _MANY, at & _COUNT, kind.astype(np.int32), extent, left, right)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "at", "n", "kind", "extent", "left", "right"])
 
         for b in batches:
             f, extent = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
@@ -176,12 +190,11 @@ def _classified(runs: DataFrame) -> DataFrame:
             alone[0] = False
             known = extent & _RUN_SHARED != 0
             if known.any():
-                doc, at = (b.column(i).to_numpy(zero_copy_only=False)[known] for i in (3, 4))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(at >> _MANY), pa.array(at & _COUNT), pa.array(np.full(len(doc), WHOLE, np.int32))], names=["doc", "at", "n", "kind"]
-                )
+                extent_, doc, at, left, right = (b.column(i).to_numpy(zero_copy_only=False)[known] for i in range(2, 7))
+                columns = (doc, at >> _MANY, at & _COUNT, np.full(len(doc), WHOLE, np.int32), extent_, left, right)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "at", "n", "kind", "extent", "left", "right"])
             ahead = pa.array(np.flatnonzero(~known & (~alone | (extent & _MINHASH_SHARED != 0))))
-            for k, c, e, doc, at in zip(*(b.column(i).take(ahead).to_pylist() for i in range(5))):
+            for k, c, e, doc, at, left, right in zip(*(b.column(i).take(ahead).to_pylist() for i in range(7))):
                 if k != fp or (c, e) != cls:
                     if fp_multi:
                         edges(members)
@@ -195,7 +208,7 @@ def _classified(runs: DataFrame) -> DataFrame:
                     fp_multi = True
                     edges(waiting)
                     waiting = []
-                own = (doc, at >> _MANY, at & _COUNT)
+                own = (doc, at, e, left, right)
                 if not cls_multi and doc != cls_doc:
                     cls_multi = True
                     out.extend((*m, WHOLE) for m in members)
@@ -218,7 +231,7 @@ def _classified(runs: DataFrame) -> DataFrame:
             yield batch()
 
     order = ["fp", "cls", "extent", "doc"]
-    return runs.repartition("fp").sortWithinPartitions(*order).select(*order, "at").mapInArrow(run, "doc bigint, at bigint, n bigint, kind int")
+    return runs.repartition("fp").sortWithinPartitions(*order).select(*order, "at", "left", "right").mapInArrow(run, _FOUND)
 
 
 def _in_two(windows: DataFrame) -> DataFrame:
@@ -298,15 +311,15 @@ def _runs(source: DataFrame, span: int, gram: int, frequent) -> DataFrame:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for rows, fp, cls, at, lo, n, total in window_runs(texts, span, gram, block):
+            for rows, fp, cls, at, lo, n, total, left, right in window_runs(texts, span, gram, block):
                 doc, extent = ids[rows], (lo << 16) | n
                 fp, extent = frequent.value.placed(fp, cls, extent, doc, at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(extent), pa.array(doc), pa.array((at << _MANY) | total)],
-                    names=["fp", "cls", "extent", "doc", "at"],
+                    [pa.array(fp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(extent), pa.array(doc), pa.array((at << _MANY) | total), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))],
+                    names=["fp", "cls", "extent", "doc", "at", "left", "right"],
                 )
 
-    return source.mapInArrow(runs, "fp bigint, cls bigint, extent bigint, doc bigint, at bigint")
+    return source.mapInArrow(runs, "fp bigint, cls bigint, extent bigint, doc bigint, at bigint, left bigint, right bigint")
 
 
 def _sample(source: DataFrame) -> DataFrame:
@@ -324,20 +337,29 @@ def shared_spans(docs: DataFrame, span: int = 300, gram: int = 50, id_col: str =
     or more, that stand verbatim in another document; they may overlap."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.length("text") >= span).where("doc is not null")
-    ends = (F.min(F.struct("doc", "at")).alias("lo"), F.max(F.struct("doc", "at")).alias("hi"))
+    ends = lambda *c: (F.min(F.struct("doc", *c)).alias("lo"), F.max(F.struct("doc", *c)).alias("hi"))
     none = spark.sparkContext.broadcast(Frequent([], []))
-    groups = persisted(_runs(_sample(source), span, gram, none).groupBy("fp", "cls", "extent").agg(*ends, F.count("*").alias("n")), "samplegroups")
-    shared = _most(groups, "fp", "cls", "extent").select("fp", "cls", "extent", "lo.*", F.col("hi.doc").alias("doc2"), F.col("hi.at").alias("at2")).collect()
-    minhashes = groups.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    groups = persisted(_runs(_sample(source), span, gram, none).groupBy("fp", "cls", "extent").agg(*ends("at", "left", "right"), F.count("*").alias("n")), "samplegroups")
+    shared = _most(groups, "fp", "cls", "extent").select("fp", "cls", "extent", "lo", "hi").collect()
+    minhashes = groups.groupBy("fp").agg(F.min(F.struct("lo.doc")).alias("lo"), F.max(F.struct("hi.doc")).alias("hi"), F.sum("n").alias("n"))
     minhashes = sorted({r[0] for r in shared} | {r[0] for r in _most(minhashes, "fp").select("fp").collect()})
     column = lambda i: np.array([r[i] for r in shared], np.int64)
     runs = run_key(column(0).view(np.uint64), column(1).view(np.uint64), column(2)).view(np.int64).tolist()
     frequent = spark.sparkContext.broadcast(Frequent(runs, minhashes))
     # of a run that is known to be shared, two texts of the sample are compared with the edges
-    sides = [(r[d], r[a] >> _MANY, r[a] & _COUNT, PARTNER) for r in shared for d, a in ((3, 4), (5, 6))]
+    sides = [(x["doc"], x["at"] >> _MANY, x["at"] & _COUNT, PARTNER, r["extent"], x["left"], x["right"]) for r in shared for x in (r["lo"], r["hi"])]
     found = _classified(_runs(source, span, gram, frequent))
-    found = persisted(found.unionByName(spark.createDataFrame(sides, "doc bigint, at bigint, n bigint, kind int")), "runs")
-    edges = found.where(F.col("kind") != WHOLE).groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("edges"))
+    found = persisted(found.unionByName(spark.createDataFrame(sides, _FOUND)), "runs")
+    # the windows of a run that hold the text before the MinHash, and those that hold the text behind it
+    one = F.col("extent").bitwiseAND(0xFFFF)
+    before = F.greatest(F.lit(0), F.least(one, F.shiftright("extent", 16).bitwiseAND(0xFFFF) - ((span - gram) // 2 - 1)))
+    again = F.col("n") > one  # a run that repeats itself is taken whole on both sides
+    side = lambda h, at, n: F.struct(F.col(h).alias("h"), at.alias("at"), n.cast("bigint").alias("n"))
+    left = side("left", F.col("at"), F.when(again, F.when(before > 0, F.col("n")).otherwise(0)).otherwise(before))
+    right = side("right", F.when(again, F.col("at")).otherwise(F.col("at") + before), F.when(again, F.when(before < one, F.col("n")).otherwise(0)).otherwise(F.col("n") - before))
+    halves = found.where(F.col("kind") != WHOLE).select("doc", F.inline(F.array(left, right))).where("n > 0")
+    halves = halves.select("h", "doc", F.shiftleft("at", _MANY).bitwiseOR(F.col("n")).alias("at"))
+    edges = _in_two(halves).groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("edges"))
 
     def windows_of(known):
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +382,7 @@ def shared_spans(docs: DataFrame, span: int = 300, gram: int = 50, id_col: str =
     schema = "h bigint, doc bigint, at bigint"
     nothing = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
     some = _sample(source).join(_sample(edges), "doc").select("doc", "text", "edges").mapInArrow(windows_of(nothing), schema)
-    known = [r[0] for r in _most(some.groupBy("h").agg(*ends, F.count("*").alias("n")), "h").select("h").collect()]
+    known = [r[0] for r in _most(some.groupBy("h").agg(*ends("at"), F.count("*").alias("n")), "h").select("h").collect()]
     known = spark.sparkContext.broadcast(np.sort(np.array(known, np.int64).view(np.uint64)))
     each = source.join(edges, "doc").select("doc", "text", "edges").mapInArrow(windows_of(known), schema)
     spans = lambda df: df.select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + span).alias("end"))
