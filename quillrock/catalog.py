@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillrock.operators.deliveries import superseded_deliveries
 from quillrock.operators.timestamps import normalise_timestamps
-from quillrock.queries import guarding, messages, permissions, searching
+from quillrock.queries import guarding, messages, permissions, reporting, searching
 from quillrock.session import table
 
 #: In how many parts, by batch, the deliveries are upserted.
@@ -38,6 +38,6 @@ SELECT row_id FROM r WHERE n > 1
 """
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found} | permissions.QUERIES | messages.QUERIES | searching.QUERIES | guarding.QUERIES
-SQL: dict[str, str] = {"p3_found": P3_SQL} | permissions.SQL | messages.SQL | searching.SQL | guarding.SQL
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found} | permissions.QUERIES | messages.QUERIES | searching.QUERIES | guarding.QUERIES | reporting.QUERIES
+SQL: dict[str, str] = {"p3_found": P3_SQL} | permissions.SQL | messages.SQL | searching.SQL | guarding.SQL | reporting.SQL
 FLAGSHIP = "plan_strategy"

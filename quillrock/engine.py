@@ -17,6 +17,7 @@ from quillrock.functions import guard
 from quillrock.functions import textmetrics as tm
 from quillrock.generation import Claim, ProviderChain, extract
 from quillrock.operators import graph
+from quillrock.operators.auditlog import AuditLog
 from quillrock.operators.policystore import PolicyStore
 from quillrock.operators.search import Hits, Unchecked, block_top_k, permitted
 from quillrock.plans import compiler
@@ -94,12 +95,12 @@ def validate(question: str, k: int) -> None:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: PolicyStore, chunks: DataFrame, providers: ProviderChain | None = None, floor_s: float = REFUSAL_FLOOR_S):
+    def __init__(self, spark: SparkSession, store: PolicyStore, chunks: DataFrame, providers: ProviderChain | None = None, floor_s: float = REFUSAL_FLOOR_S, audit: AuditLog | None = None, audit_key: bytes = b""):
         self.spark, self.store, self.chunks = spark, store, chunks
         self.cache = compiler.PlanCache()
         self.providers = providers or ProviderChain([])
         self.floor_s = floor_s
-        self.audit: list[dict[str, Any]] = []
+        self.audit, self.audit_key = audit or AuditLog(spark), audit_key
 
     # --- plans
 
@@ -176,7 +177,13 @@ class Engine:
             answer = refuse("budget_exceeded", d)
         if answer.refused:
             time.sleep(max(0.0, self.floor_s - (time.monotonic() - began)))
-        self.audit.append({"principal": principal, "query_hash": question_hash(question), "refusal_reason": answer.reason, "n_candidates": d.candidates, "n_dropped_at_recheck": d.dropped, "strategy": d.strategy, "epoch": self.store.epoch, "shown_objects": answer.citations})
+        self.audit.append([
+            {
+                "ts": time.time(), "route": "ask", "principal": principal, "query_hash": question_hash(question, self.audit_key), "refusal_reason": answer.reason,
+                "n_candidates": d.candidates, "n_dropped_at_recheck": d.dropped, "strategy": d.strategy, "epoch": self.store.epoch, "shown_objects": answer.citations,
+                "guardrails_fired": [d.fired] if d.fired else [], "provider": d.provider,
+            }
+        ])
         return answer
 
     def _answer(self, principal: str, question: str, vector: list[float], k: int, d: Diagnostics) -> Answer:
@@ -213,8 +220,12 @@ class Engine:
         return Answer(False, " ".join(c.text for c in kept), cited, "", d)
 
 
-def question_hash(question: str) -> str:
+def question_hash(question: str, key: bytes = b"") -> str:
+    """Of the question with blanks squeezed, in lower case; keyed where there is a key."""
     import hashlib
+    import hmac
 
-    squeezed = " ".join(question.split()).lower()
-    return "u:" + hashlib.sha256(b"quillrock/query/v1\n" + squeezed.encode()).hexdigest()[:32]
+    squeezed = b"quillrock/query/v1\n" + " ".join(question.split()).lower().encode()
+    if key:
+        return "k:" + hmac.new(key, squeezed, hashlib.sha256).hexdigest()[:32]
+    return "u:" + hashlib.sha256(squeezed).hexdigest()[:32]

@@ -124,3 +124,19 @@ def admitted(rows: DataFrame, who: str, ts: str, order: str, tokens: Column, cap
     w = Window.partitionBy(who, F.to_date(ts)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(tokens).over(w), F.lit(0))
     return rows.withColumn("spent_before", spent).withColumn("admitted", spent + tokens <= cap)
+
+
+#: Labels that would name a person or carry a text; a metric may have none of them.
+IDENTITY_LABELS = frozenset({"principal", "user", "user_id", "subject", "email", "query", "question", "text", "chunk_id", "object", "object_ref", "request_id"})
+
+
+def check_labels(labels: list[str]) -> None:
+    if bad := sorted(IDENTITY_LABELS & set(labels)):
+        raise ValueError(f"labels that identify: {bad}")
+
+
+def counters(rows: DataFrame, labels: list[str], value: Column) -> DataFrame:
+    """``labels, total``: the sum per set of labels. A negative increment fails the job; nulls count nothing."""
+    check_labels(labels)
+    step = F.when(value < 0, F.raise_error(F.lit("a counter cannot go down"))).otherwise(F.coalesce(value, F.lit(0)))
+    return rows.groupBy(*labels).agg(F.sum(step.cast("bigint")).alias("total"))

@@ -7,7 +7,6 @@ objects; ids are carried only by plans that enumerate or scan them.
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections import OrderedDict
 from dataclasses import dataclass
 from typing import Any
@@ -82,6 +81,15 @@ def stamp_tokens(objects: DataFrame, tuples: DataFrame, namespaces: dict[str, Na
     return objects.select("object").distinct().join(stamped, "object", "left").select("object", F.coalesce("grant_tokens", F.array().cast("array<string>")).alias("grant_tokens"))
 
 
+def clamp_k(k: Column, most: int) -> Column:
+    """Between 1 and ``most``."""
+    return F.greatest(F.lit(1), F.least(k, F.lit(most)))
+
+
+def is_stale(epoch: Column, live: int) -> Column:
+    return epoch < live
+
+
 # --- predicates
 
 
@@ -156,6 +164,3 @@ class PlanCache:
     def __len__(self) -> int:
         return len(self._held)
 
-
-def keyed_hash(text: str, key: bytes) -> str:
-    return hmac.new(key, text.encode(), hashlib.sha256).hexdigest()

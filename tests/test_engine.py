@@ -47,7 +47,8 @@ def test_ask_and_refusals(spark, world):
     assert set(carol.citations) <= {"doc:payroll"}
     for question, k in (("", 5), ("x" * 2001, 5), ("x", 0), ("x", 51)):
         assert e.ask("user:alice", question, vec(0), k).reason == "budget_exceeded"
-    assert [r["refusal_reason"] for r in e.audit][0] == "" and "merger" not in json.dumps(e.audit[0]["query_hash"])
+    log = e.audit.records().orderBy("seq").collect()
+    assert log[0].refusal_reason == "" and log[0].principal == "user:alice" and "merger" not in log[0].query_hash and e.audit.page()["verified"]
     with pytest.raises(E.UngroundedHits):
         E.showable(Unchecked(chunks))
     assert set(e.plan_summary("user:alice")) == {"strategy", "n_tokens", "n_ids", "epoch", "cardinality"}
