@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillrock.model import TUPLE_COLUMNS, object_ref, principal_ref
 from quillrock.plans.rewrite import Namespace, default_namespaces, implies_table, ttu_table
-from quillrock.session import persisted
+from quillrock.session import persisted, side_by_side
 
 MAX_DEPTH, OBJECT_DEPTH, SUBJECT_DEPTH = 16, 8, 8
 
@@ -157,10 +157,13 @@ def check_pairs(
     repeats no node.
     """
     ns = namespaces or default_namespaces()
-    up = persisted(containers(objects, tuples, ns, max_depth), "up")
-    grants = direct_grants(tuples, ns, relation).withColumnRenamed("object", "container")
-    leaves = persisted(up.join(grants, "container").groupBy("object", "subject").agg(F.min("depth").alias("depth")), "leaves")
-    members = principal_closure(tuples, ns, max_depth).select("principal", F.col("userset").alias("subject"), "hop")
+
+    def leaves_() -> DataFrame:
+        up = persisted(containers(objects, tuples, ns, max_depth), "up")
+        grants = direct_grants(tuples, ns, relation).withColumnRenamed("object", "container")
+        return persisted(up.join(grants, "container").groupBy("object", "subject").agg(F.min("depth").alias("depth")), "leaves")
+
+    leaves, members = side_by_side(leaves_, lambda: principal_closure(tuples, ns, max_depth).select("principal", F.col("userset").alias("subject"), "hop"))
     cost = F.col("depth") + F.col("hop")
     return leaves.join(members, "subject").where(cost <= max_depth).groupBy("object", "principal").agg(F.min(cost).alias("cost"))
 
@@ -178,12 +181,15 @@ def why(
     """
     ns = namespaces or default_namespaces()
     pairs = persisted(pairs.select("object", "principal").distinct(), "pairs")
-    up = containers(pairs.select("object").distinct(), tuples, ns, max_depth)
     grants = direct_grants(tuples, ns, relation).withColumnRenamed("object", "container")
-    ways = up.join(grants, "container").groupBy("object", "subject").agg(F.min(F.struct("depth", "container")).alias("way"))
-    leaves = persisted(ways.select("object", "subject", "way.*"), "leaves")
     asked = pairs.select("principal").distinct()
-    members = closure_of(asked, tuples, ns, max_depth).select("principal", F.col("userset").alias("subject"), "hop")
+
+    def leaves_() -> DataFrame:
+        up = containers(pairs.select("object").distinct(), tuples, ns, max_depth)
+        ways = up.join(grants, "container").groupBy("object", "subject").agg(F.min(F.struct("depth", "container")).alias("way"))
+        return persisted(ways.select("object", "subject", "way.*"), "leaves")
+
+    leaves, members = side_by_side(leaves_, lambda: closure_of(asked, tuples, ns, max_depth).select("principal", F.col("userset").alias("subject"), "hop"))
     cost = F.col("depth") + F.col("hop")
     allowed = pairs.join(leaves, "object").join(members, ["principal", "subject"]).where(cost <= max_depth)
     best = F.min(F.struct(cost.alias("cost"), "depth", "container", "subject", "hop")).alias("w")

@@ -110,7 +110,14 @@ def ttu_rows(namespaces: dict[str, Namespace]) -> list[tuple[str, str, str, str,
 
 
 def _frame(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """The rows, as many as rules are declared, as literals of the plan."""
+    rows = list(rows)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    literal = lambda v: ("true" if v else "false") if isinstance(v, bool) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    names = ", ".join(c.split()[0] for c in schema.split(", "))
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
 def implies_table(spark: SparkSession, namespaces: dict[str, Namespace]) -> DataFrame:

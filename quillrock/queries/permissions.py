@@ -9,7 +9,7 @@ from quillrock.model import object_ref, parse_tuples, principal_ref, tuple_text
 from quillrock.operators import graph, policystore
 from quillrock.plans import compiler
 from quillrock.plans.rewrite import default_namespaces, implies_rows
-from quillrock.session import persisted, table
+from quillrock.session import persisted, side_by_side, table
 
 
 def _tuples(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,10 +157,11 @@ def oracle_strata(spark: SparkSession, sf: str) -> DataFrame:
     allows, by the size of the closure; disagreements are counted, never sampled."""
     t = _policy(spark, sf)
     docs = persisted(graph.objects_of(t), "docs")
-    live = graph.check_pairs(docs, t).select("object", "principal", F.lit(True).alias("live"))
-    plan = graph.reachable_objects(t).select("object", "principal", F.lit(True).alias("planned"))
     closure = persisted(graph.principal_closure(t), "closures")
-    leaves = graph.expand_leaves(docs, t).select("object", F.col("subject").alias("userset"))
+    live, plan, leaves = side_by_side(lambda: graph.check_pairs(docs, t), lambda: graph.Reach(t, closure=closure).objects(), lambda: graph.expand_leaves(docs, t))
+    live = live.select("object", "principal", F.lit(True).alias("live"))
+    plan = plan.select("object", "principal", F.lit(True).alias("planned"))
+    leaves = leaves.select("object", F.col("subject").alias("userset"))
     token = closure.join(leaves, "userset").select("object", "principal").distinct().withColumn("tokened", F.lit(True))
     size = closure.groupBy("principal").agg((F.count("*") - 1).alias("n"))
     n = F.col("n")
