@@ -142,3 +142,15 @@ class ChunkIndex:
         if not stale.isEmpty():
             self._chunks.append(persisted(stale.select(*CHUNK_COLUMNS, F.lit(True).alias("dead")), "stale"))
         return n
+
+    def restamp(self, stamped: DataFrame) -> int:
+        """Give the live chunks of the objects (``object, grant_tokens``) new tokens; those whose object has
+        none any more go. Vectors and texts stay as they are. Returns how many chunks moved."""
+        fresh = stamped.select(F.col("object").alias("object_ref"), F.col("grant_tokens").alias("__now")).dropDuplicates(["object_ref"])
+        moved = self.chunks().join(fresh, "object_ref").where(~F.array_sort("grant_tokens").eqNullSafe(F.array_sort("__now")))
+        moved = moved.withColumn("dead", F.coalesce(F.size("__now"), F.lit(0)) <= 0).withColumn("grant_tokens", F.col("__now"))
+        moved = persisted(moved.select(*CHUNK_COLUMNS, "dead"), "restamped")
+        n = moved.count()
+        if n:
+            self._chunks.append(moved)
+        return n
