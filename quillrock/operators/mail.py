@@ -121,6 +121,33 @@ def document_text() -> Column:
     return F.when(head == "", F.col("body")).otherwise(F.concat(head, F.lit("\n\n"), F.coalesce(F.col("body"), F.lit(""))))
 
 
+def mail_documents(messages: DataFrame) -> DataFrame:
+    """``row_id, object_ref, text, metadata, boundaries`` of messages: what is chunked, what stands beside
+    it, and the offsets that no chunk may cross (quoted mail, the end of the header)."""
+    from quillrock.operators.ingest import quote_boundaries
+
+    @F.pandas_udf("array<int>")
+    def marks(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: quote_boundaries(t) if t else [])
+
+    beside = {"message_id": "message_id", "subject": F.substring(F.coalesce("subject", F.lit("")), 1, SUBJECT_CHARS), "sender": "sender", "date": "date"}
+    some = F.map_filter(F.create_map(*[x for k, v in beside.items() for x in (F.lit(k), F.col(v) if isinstance(v, str) else v)]), lambda k, v: F.coalesce(F.length(v), F.lit(0)) > 0)
+    d = messages.withColumn("text", document_text())
+    return d.select("row_id", message_object(F.col("message_id"), F.col("row_id")).alias("object_ref"), "text", some.alias("metadata"), marks(F.col("text")).alias("boundaries"))
+
+
+def sample_messages(spark: SparkSession, domain: str = "sample.example") -> DataFrame:
+    """Eleven made-up messages that hold what the derivation looks for: a set of people that recurs five
+    times, a wider one that holds it and recurs, mail to a list, mail that lies in several mailboxes."""
+    at = lambda n: f"{n}@{domain}"
+    core, wide = ["ana", "ben", "cas"], ["ana", "ben", "cas", "dov"]
+    rows = [(f"core {i}", "ana", core, ["ana"] if i % 2 else ["ana", "ben"]) for i in range(5)]
+    rows += [(f"wide {i}", "ana", wide, ["dov"]) for i in range(5)]
+    rows += [("to all", "eve", ["all.staff"], ["ana", "ben", "eve"])]
+    data = [(i + 1, f"<sample-{i}@{domain}>", subject, at(sender), [at(x) for x in to], [], f"{1 + i} Mar 2001 09:00:00 +0000", f"Body of {subject}.", boxes, [f"{b}/{i}." for b in boxes]) for i, (subject, sender, to, boxes) in enumerate(rows)]
+    return spark.createDataFrame(data, f"row_id bigint, {MESSAGES}")
+
+
 class Derivation:
     """What mail implies about access, over merged messages (``merged_messages``).
 
@@ -306,7 +333,3 @@ def questions(rows: DataFrame) -> DataFrame:
     e = rows.select("item_id", F.posexplode("questions").alias("n", "question"), "answers").where(F.coalesce(F.trim("question") != "", F.lit(False)))
     return e.select("item_id", "n", "question", F.coalesce(F.try_element_at("answers", F.col("n") + 1), F.lit("")).alias("answer"))
 
-
-def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by ``order``."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__rn = 1").drop("__rn")

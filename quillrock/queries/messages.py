@@ -54,6 +54,19 @@ def document_texts(spark: SparkSession, sf: str) -> DataFrame:
     return _messages(spark, sf).select("row_id", F.md5(mail.document_text()).alias("text_md5"), F.substring(F.coalesce("subject", F.lit("")), 1, mail.SUBJECT_CHARS).alias("title"))
 
 
+def mail_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Where no chunk of a mail may run across, and what stands beside its text."""
+    d = mail.mail_documents(_messages(spark, sf))
+    return d.select("row_id", F.array_join("boundaries", ",").alias("boundaries"), F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("metadata"), F.md5("text").alias("text_md5"))
+
+
+def mail_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks whose object is the digest of an identifier in the mail, and chunks of other objects."""
+    named = _messages(spark, sf).select(mail.message_object(F.col("message_id"), F.col("row_id")).alias("ref")).distinct().withColumn("mail", F.lit(True))
+    c = table(spark, sf, "chunks").select(F.concat(F.lit("doc:"), "object_id").alias("ref"))
+    return c.join(named, "ref", "left").agg(F.count_if("mail").alias("n_mail"), F.count("*").alias("n"))
+
+
 def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(F.coalesce("object_ref", F.concat(F.lit("doc:"), F.col("doc_id"))).alias("object_ref"), "text")
     return ingest.chunked(d).select("chunk_id", "object_ref", "ordinal", "char_start", "char_end", "n_tokens", F.md5("text").alias("text_md5"))
@@ -127,7 +140,7 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_merge, recipient_groups, derived_tuples, derived_counts, derivation_stats, address_principals, document_texts, chunk_texts, hash_features, hash_embeddings,
+        dedupe_merge, recipient_groups, derived_tuples, derived_counts, derivation_stats, address_principals, document_texts, mail_documents, mail_objects, chunk_texts, hash_features, hash_embeddings,
         embed_dedup_counts, ingest_report, ingest_run, question_rows, upsert_last_wins, index_stats,
     )
 }
@@ -179,6 +192,14 @@ SQL = {
       CASE WHEN length(array_to_string("to", ', ')) > 0 THEN 'To: ' || array_to_string("to", ', ') END, CASE WHEN length(array_to_string(cc, ', ')) > 0 THEN 'Cc: ' || array_to_string(cc, ', ') END,
       CASE WHEN length(date) > 0 THEN 'Date: ' || date END) AS head FROM messages)
       SELECT row_id, md5(CASE WHEN head = '' THEN body ELSE head || chr(10) || chr(10) || coalesce(body, '') END) AS text_md5, substr(coalesce(subject, ''), 1, {mail.SUBJECT_CHARS}) AS title FROM h""",
+    "mail_documents": f"""WITH h AS (SELECT *, concat_ws(chr(10), CASE WHEN length(subject) > 0 THEN 'Subject: ' || subject END, CASE WHEN length(sender) > 0 THEN 'From: ' || sender END,
+      CASE WHEN length(array_to_string("to", ', ')) > 0 THEN 'To: ' || array_to_string("to", ', ') END, CASE WHEN length(array_to_string(cc, ', ')) > 0 THEN 'Cc: ' || array_to_string(cc, ', ') END,
+      CASE WHEN length(date) > 0 THEN 'Date: ' || date END) AS head FROM messages), t AS (SELECT *, CASE WHEN head = '' THEN body ELSE head || chr(10) || chr(10) || coalesce(body, '') END AS text FROM h),
+      m AS (SELECT row_id, unnest([i for i in range(2, length(text) + 1) if {" OR ".join(f"substr(text, i, {len(q)}) = '" + q.replace(chr(10), "' || chr(10) || '") + "'" for q in mail.QUOTE_MARKERS)}]) - 1 AS o FROM t WHERE text IS NOT NULL
+        UNION SELECT row_id, strpos(text, chr(10) || chr(10)) + 1 FROM t WHERE strpos(text, chr(10) || chr(10)) > 1 AND strpos(text, chr(10) || chr(10)) + 1 < length(text)),
+      l AS (SELECT row_id, array_to_string(list_sort(list(o)), ',') AS b FROM m GROUP BY row_id)
+      SELECT t.row_id, coalesce(b, '') AS boundaries, array_to_string(list_sort(list_filter([CASE WHEN length(message_id) > 0 THEN 'message_id' END, CASE WHEN length(subject) > 0 THEN 'subject' END, CASE WHEN length(sender) > 0 THEN 'sender' END,
+        CASE WHEN length(date) > 0 THEN 'date' END], lambda x: x IS NOT NULL)), ',') AS metadata, md5(text) AS text_md5 FROM t LEFT JOIN l ON l.row_id = t.row_id""",
     "hash_features": f"""WITH {_UNITS}, h AS (SELECT doc_id, md5(u) AS h FROM u)
       SELECT doc_id, CAST(('0x' || substr(h, 1, 8))::BIGINT % 64 AS INTEGER) AS idx, CAST(sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) AS value FROM h GROUP BY 1, 2 HAVING sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 1 THEN 1 ELSE -1 END) <> 0""",
     "embed_dedup_counts": "SELECT count(*) AS texts, count(DISTINCT text) AS computed, count(*) - count(DISTINCT text) AS deduplicated FROM chunks WHERE text IS NOT NULL",

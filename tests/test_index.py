@@ -83,6 +83,14 @@ def test_derived_access(spark):
     assert (s.messages, s.documents, s.skipped, s.groups, s.groups_from_lists, s.groups_from_sets) == (12, 11, 1, 3, 1, 2) and s.nested_edges >= 1
 
 
+def test_sample_messages(spark):
+    d = mail.Derivation(mail.merged_messages(mail.sample_messages(spark)), "sample.example")
+    assert {len(r.people): r.support for r in d.sets.collect()} == {3: 5, 4: 5}
+    assert {r.group.split("_")[0] for r in d.groups.collect()} == {"dl", "rs"} and d.stats().first().nested_edges >= 1
+    docs = {r.row_id: r for r in mail.mail_documents(mail.sample_messages(spark)).collect()}
+    assert len(docs) == 11 and docs[1].metadata["subject"] == "core 0" and docs[1].boundaries == [docs[1].text.index("\n\n") + 2]
+
+
 def test_mails_inside_json_lines(spark, tmp_path):
     f = tmp_path / "q.jsonl"
     f.write_text('{"email": "Message-ID: <a@x>\\nFrom: j@x\\nTo: a@x, b@x\\nCc: c@x\\nSubject: s\\n\\nbody\\n", "user": "u"}\n{"email": "no header here"}\n')
