@@ -7,6 +7,8 @@ principal lacks evidence or lacks permission, the refusal is the same.
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -53,6 +55,36 @@ class UngroundedHits(EngineError):
     code, status, public = "unchecked", 500, "Something went wrong."
 
 
+class Unauthenticated(EngineError):
+    code, status, public = "unauthenticated", 401, "Sign in first."
+
+
+class AuthorityUnavailable(EngineError):
+    code, status, public = "authority_unavailable", 503, "Try again later."
+
+
+class IndexUnavailable(EngineError):
+    code, status, public = "index_unavailable", 503, "Try again later."
+
+
+class AuditUnavailable(EngineError):
+    """Without its record nothing is answered."""
+
+    code, status, public = "audit_unavailable", 503, "Try again later."
+
+
+class Misconfigured(EngineError):
+    code, status, public = "misconfigured", 500, "Something went wrong."
+
+
+class ChainBroken(EngineError):
+    code, status, public = "chain_broken", 500, "Something went wrong."
+
+
+class NotAvailable(EngineError):
+    code, status, public = "not_available", 501, "Not available here."
+
+
 @dataclass
 class Diagnostics:
     candidates: int = 0
@@ -62,6 +94,16 @@ class Diagnostics:
     fired: str = ""
     provider: str = ""
     stage_ms: dict[str, float] = field(default_factory=dict)
+    #: Whether the policy moved between the plan and the recheck.
+    policy_moved: bool = False
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.stage_ms[name] = self.stage_ms.get(name, 0.0) + (time.perf_counter() - began) * 1000
 
 
 @dataclass
@@ -166,58 +208,109 @@ class Engine:
         checked = persisted(graph.recheck(rows, graph.check_hits(pairs, self.store.tuples(), self.store.namespaces)), "checked")
         return Hits(checked.where("kept").drop("kept").orderBy("rank"), epoch), checked.where("not kept").count()
 
+    def retrieve(self, principal: str, vector: list[float], k: int = DEFAULT_K) -> tuple[Hits, Diagnostics]:
+        """Plan, search, recheck, recorded in the audit log; no answer is made."""
+        d = Diagnostics()
+        validate("search", k)
+        with d.stage("plan"):
+            plan = self.plan(principal, d)
+        d.strategy = plan["strategy"]
+        with d.stage("recheck"):
+            hits, d.dropped = self.recheck(self.search(principal, vector, k, d))
+        d.policy_moved = hits.epoch != plan["epoch"]
+        shown = [r.object_ref for r in showable(hits).select("object_ref").collect()]  # at most MAX_K
+        d.candidates = len(shown) + d.dropped
+        self._record("search", principal, "", d, shown, "")
+        return hits, d
+
+    def _record(self, route: str, principal: str, question: str, d: Diagnostics, shown: list[str], reason: str) -> None:
+        try:
+            self.audit.append([
+                {
+                    "ts": time.time(), "route": route, "principal": principal, "query_hash": question_hash(question, self.audit_key) if question else "", "refusal_reason": reason,
+                    "n_candidates": d.candidates, "n_dropped_at_recheck": d.dropped, "strategy": d.strategy, "epoch": self.store.epoch, "shown_objects": list(dict.fromkeys(shown)),
+                    "guardrails_fired": [d.fired] if d.fired else [], "provider": d.provider, "degraded": d.provider == "extractive",
+                }
+            ])
+        except (OSError, RuntimeError) as e:
+            raise AuditUnavailable(str(e)) from e
+
     def ask(self, principal: str, question: str, vector: list[float], k: int = DEFAULT_K) -> Answer:
         """Plan, search, recheck, scan, answer, ground, cite; a refusal takes a least time."""
+        *_, last = self.events(principal, question, vector, k)
+        return last["result"]
+
+    def events(self, principal: str, question: str, vector: list[float], k: int = DEFAULT_K) -> Iterator[dict[str, Any]]:
+        """The stages of an answer as they end, ``{"stage", "ms"}``, and last ``{"result"}``."""
         began = time.monotonic()
         d = Diagnostics()
         try:
             validate(question, k)
-            answer = self._answer(principal, question, vector, k, d)
+            answer = None
+            for step in self._stages(principal, question, vector, k, d):
+                if isinstance(step, Answer):
+                    answer = step
+                else:
+                    yield {"stage": step, "ms": round(d.stage_ms[step], 3)}
         except BudgetExceeded:
             answer = refuse("budget_exceeded", d)
         if answer.refused:
             time.sleep(max(0.0, self.floor_s - (time.monotonic() - began)))
-        self.audit.append([
-            {
-                "ts": time.time(), "route": "ask", "principal": principal, "query_hash": question_hash(question, self.audit_key), "refusal_reason": answer.reason,
-                "n_candidates": d.candidates, "n_dropped_at_recheck": d.dropped, "strategy": d.strategy, "epoch": self.store.epoch, "shown_objects": answer.citations,
-                "guardrails_fired": [d.fired] if d.fired else [], "provider": d.provider,
-            }
-        ])
-        return answer
-
-    def _answer(self, principal: str, question: str, vector: list[float], k: int, d: Diagnostics) -> Answer:
-        plan = self.plan(principal, d)
+        self._record("ask", principal, question, d, answer.citations, answer.reason)
+        yield {"result": answer}
+
+    def _stages(self, principal: str, question: str, vector: list[float], k: int, d: Diagnostics) -> Iterator[str | Answer]:
+        """The name of each stage when it is done, and at last the answer."""
+        with d.stage("plan"):
+            plan = self.plan(principal, d)
         d.strategy = plan["strategy"]
+        yield "plan"
         if plan["strategy"] != "unfiltered" and not plan["grant_tokens"] and not plan["explicit_ids"]:
-            return refuse("no_evidence_at_all", d)
-        found = self.search(principal, vector, k, d)
-        hits, d.dropped = self.recheck(found)
-        rows = showable(hits).select("chunk_id", "object_ref", "text", "score").collect()  # at most MAX_K
+            yield refuse("no_evidence_at_all", d)
+            return
+        with d.stage("search"):
+            found = self.search(principal, vector, k, d)
+        yield "search"
+        with d.stage("recheck"):
+            hits, d.dropped = self.recheck(found)
+            rows = showable(hits).select("chunk_id", "object_ref", "text", "score").collect()  # at most MAX_K
+        d.policy_moved = hits.epoch != plan["epoch"]
         d.candidates = len(rows) + d.dropped
+        yield "recheck"
         if not rows:
-            return refuse("no_permitted_evidence" if d.dropped else "no_evidence_at_all", d)
-        texts = self.spark.createDataFrame([(i, r.text or "") for i, r in enumerate(rows)], "i int, text string")
-        fired = texts.select("i", guard.injection_name(F.col("text")).alias("rule")).where("rule is not null").orderBy("i").limit(1).collect()
+            yield refuse("no_permitted_evidence" if d.dropped else "no_evidence_at_all", d)
+            return
+        with d.stage("guardrails"):
+            texts = self.spark.createDataFrame([(i, r.text or "") for i, r in enumerate(rows)], "i int, text string")
+            fired = texts.select("i", guard.injection_name(F.col("text")).alias("rule")).where("rule is not null").orderBy("i").limit(1).collect()
+        yield "guardrails"
         if fired:
             d.fired = fired[0].rule
-            return refuse("injection_detected", d)
-        if sum(len(r.text or "") for r in rows) + tm.CONTEXT_OVERHEAD * len(rows) > tm.MAX_CONTEXT_CHARS:
-            claims, d.provider = extract(question, rows), "extractive"
-        else:
-            claims, d.provider = self.providers.answer(principal, question, rows)
-        known = {r.chunk_id: r for r in rows}
-        grounded = [Claim(c.text, tuple(i for i in c.chunk_ids if i in known)) for c in claims]
-        grounded = [c for c in grounded if c.chunk_ids]
-        if not grounded:
+            yield refuse("injection_detected", d)
+            return
+        with d.stage("generate"):
+            if sum(len(r.text or "") for r in rows) + tm.CONTEXT_OVERHEAD * len(rows) > tm.MAX_CONTEXT_CHARS:
+                claims, d.provider = extract(question, rows), "extractive"
+            else:
+                claims, d.provider = self.providers.answer(principal, question, rows)
+        yield "generate"
+        with d.stage("ground"):
+            answer = self._grounded(claims, {r.chunk_id: r for r in rows}, d)
+        yield "ground"
+        yield answer
+
+    def _grounded(self, claims: list[Claim], known: dict[str, Any], d: Diagnostics) -> Answer:
+        """The claims that cite what was shown and are supported by it."""
+        cited = [Claim(c.text, tuple(i for i in c.chunk_ids if i in known)) for c in claims]
+        cited = [c for c in cited if c.chunk_ids]
+        if not cited:
             return refuse("ungrounded", d)
-        pairs = self.spark.createDataFrame([(i, c.text, " ".join(known[x].text or "" for x in c.chunk_ids)) for i, c in enumerate(grounded)], "i int, claim string, evidence string")
+        pairs = self.spark.createDataFrame([(i, c.text, " ".join(known[x].text or "" for x in c.chunk_ids)) for i, c in enumerate(cited)], "i int, claim string, evidence string")
         scores = {r.i: r.s for r in pairs.select("i", tm.support_score(F.col("claim"), F.col("evidence")).alias("s")).collect()}
-        kept = [c for i, c in enumerate(grounded) if scores[i] >= tm.MIN_SUPPORT]
+        kept = [c for i, c in enumerate(cited) if scores[i] >= tm.MIN_SUPPORT]
         if not kept:
             return refuse("ungrounded", d)
-        cited = list(dict.fromkeys(known[i].object_ref for c in kept for i in c.chunk_ids))
-        return Answer(False, " ".join(c.text for c in kept), cited, "", d)
+        return Answer(False, " ".join(c.text for c in kept), list(dict.fromkeys(known[i].object_ref for c in kept for i in c.chunk_ids)), "", d)
 
 
 def question_hash(question: str, key: bytes = b"") -> str:

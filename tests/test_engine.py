@@ -49,6 +49,11 @@ def test_ask_and_refusals(spark, world):
         assert e.ask("user:alice", question, vec(0), k).reason == "budget_exceeded"
     log = e.audit.records().orderBy("seq").collect()
     assert log[0].refusal_reason == "" and log[0].principal == "user:alice" and "merger" not in log[0].query_hash and e.audit.page()["verified"]
+    stages = list(e.events("user:alice", "what about the merger?", vec(0)))
+    assert [x.get("stage") for x in stages] == ["plan", "search", "recheck", "guardrails", "generate", "ground", None] and not stages[-1]["result"].refused
+    assert set(stages[-1]["result"].diagnostics.stage_ms) == {x["stage"] for x in stages[:-1]} and not stages[-1]["result"].diagnostics.policy_moved
+    hits, d = e.retrieve("user:alice", vec(0), k=2)
+    assert hits.rows.count() == 2 and d.candidates == 2 and e.audit.records().where("route = 'search'").first().shown_objects
     with pytest.raises(E.UngroundedHits):
         E.showable(Unchecked(chunks))
     assert set(e.plan_summary("user:alice")) == {"strategy", "n_tokens", "n_ids", "epoch", "cardinality"}
