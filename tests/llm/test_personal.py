@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from quillrock.llm.personal import NameForms, find, luhn, mod97, personal_spans, redacted, replaced
+from quillrock.llm.personal import NameForms, find, learned_forms, luhn, mod97, personal_spans, redacted, replaced
 
 NAMES = [f"{g}{s} {f}{e}" for g in ("Jor", "Sten", "Oril", "Ruv", "Ned", "Piv") for s in ("isk", "elka", "ette", "in", "or", "ava") for f, e in (("Zello", "vik"), ("Yarri", "dale"), ("Ullka", "lan"), ("Rosti", "ner"), ("Kelse", "ska"), ("Dorva", "worth"))]
 
@@ -79,3 +81,30 @@ def test_operator(spark):
     assert out == {1: None, 2: "", 3: "x\U0001f600 [EMAIL]"}
     assert personal_spans(m.limit(0), people).count() == 0
     assert personal_spans(m, people.limit(0)).count() == 3
+
+
+def test_all_names_of_a_long_list(spark):
+    """A list of more than 50,000 names: each of them is found, as no family name shares its ending."""
+
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    names = range(50_400)
+    people = spark.createDataFrame([(f"Jo{word(7 * i)} Be{word(i)}",) for i in names], "display_name string")
+    rows = spark.createDataFrame([(i, f"asked Jo{word(7 * i)} Be{word(i)} today") for i in names], "row_id bigint, body string")
+    found = personal_spans(rows, people)
+    assert found.where("kind = 'person' and char_start = 6 and char_end = 19").select("row_id").distinct().count() == found.count() == len(names)
+
+
+def test_forms_counted_over_a_table(spark):
+    """What Spark counts of a table is what is counted of the list, repeated and odd names included."""
+    r = random.Random(5)
+    syllables = ["an", "bel", "cor", "d\xe9", "el", "fin", "gus", "ho", "\xefr", "\U00010428a", "lo", "ma", "ny", "os"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
+    for n in (0, 5, 300, 3_000):
+        names = [f"{word().title()}{r.choice([' ', ' Q. ', '  '])}{word()}{r.choice(['', '-' + word(), '-x'])}" for _ in range(n)] + ["", "Solo", "1 2", "A B", "Li Wu"]
+        want = NameForms(names)
+        got = learned_forms(spark.createDataFrame([(x,) for x in names * 2] + [(None,)], "display_name string"))
+        assert (got.families, got.endings, got.last) == (want.families, want.endings, want.last)
+        assert (got.given.listed, got.given.stems, got.given.tails) == (want.given.listed, want.given.stems, want.given.tails)
+    assert want.given.stems and want.endings
