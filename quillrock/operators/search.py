@@ -7,6 +7,7 @@ measured baseline only.
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,41 +112,154 @@ def top_k_of_pairs(pairs: DataFrame, chunks: DataFrame, queries: DataFrame, k: i
     return ranked(scored.where(~F.isnan("score")).select("query_id", "row_id", "score"), "query_id", max(0, k))
 
 
-def block_top_k(chunks: DataFrame, queries: list[tuple[int, list[float], frozenset[str] | None]], k: int, dim: int = 64) -> DataFrame:
-    """``query_id, rank, row_id, score`` for a block of queries ``(id, vector, tokens)`` by one matrix
-    product per Arrow batch; ``tokens`` of None is unfiltered, an empty set admits nothing.
+#: Rows and queries of one matrix product, and cells of the table of filters by rows.
+ROWS, COLUMNS, ADMITTED = 2_048, 1_024, 16_000_000
+
+
+class Asked:
+    """Queries by what they may see: ``filters`` of ``(tokens, ids)`` (None: does not bind; an empty set
+    admits nothing), ``of`` the filter of each query. Zero vectors, to which every row scores 0, stand last."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, filters: list[tuple[Collection[str] | None, Collection[str] | None]], of: np.ndarray):
+        n = np.linalg.norm(vectors, axis=1)
+        order = np.lexsort((of, ~(n > 0)))
+        self.ids, self.q = ids[order], (vectors / np.where(n > 0, n, 1)[:, None])[order]
+        self.q32, of, self.directed = self.q.astype(np.float32), of[order], int((n > 0).sum())
+        parts = (of[: self.directed], 0), (of[self.directed :], self.directed)
+        numbers = np.arange(len(filters))
+        self.slices = [(np.searchsorted(x, numbers) + at, np.searchsorted(x, numbers, "right") + at) for x, at in parts]
+        self.n_filters = len(filters)
+        self.free, self.by = [], []
+        for side in (0, 1):
+            self.free.append(np.array([f[side] is None for f in filters], bool))
+            by: dict[str, list[int]] = {}
+            for i, f in enumerate(filters):
+                for v in f[side] or ():
+                    by.setdefault(v, []).append(i)
+            self.by.append({v: np.array(x, np.int32) for v, x in by.items()})
+
+
+def _where(values: pa.Array, rows: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Each value with the rows it stands in."""
+    coded = values.dictionary_encode()
+    there = values.is_valid().to_numpy(zero_copy_only=False)
+    codes = coded.indices.drop_null().to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))
+    return zip(coded.dictionary.to_pylist(), np.split(rows[there][order], ends[:-1])) if len(ends) else iter(())
+
+
+class Best:
+    """The ``k`` best rows so far of each query of a block; only a row that can be among them is kept.
+
+    Matrix products in single precision, whose error is below ``slack``, tell which rows can; those are
+    scored in double precision, so scores and ties are the exact ones.
+    """
 
-    Each batch keeps its own k best per query, so what is shuffled grows with batches, not rows.
+    def __init__(self, asked: Asked, k: int):
+        self.asked, self.k = asked, max(1, k)
+        self.score = np.full((len(asked.ids), self.k), -np.inf)
+        self.row = np.full((len(asked.ids), self.k), np.iinfo(np.int64).max)
+        self.slack = 2e-7 * asked.q.shape[1]
+
+    def see(self, ids: np.ndarray, x: np.ndarray, tokens: pa.Array, names: tuple[pa.Array, ...] = ()) -> None:
+        """Rows with their vectors, tokens and the ids they go by."""
+        n = np.linalg.norm(x, axis=1)
+        x = x / np.where(n > 0, n, 1)[:, None]
+        x32, step = x.astype(np.float32), max(256, ADMITTED // max(1, self.asked.n_filters))
+        for i in range(0, len(ids), step):
+            at = slice(i, i + step)
+            self._admit(ids[at], x[at], x32[at], tokens[at], [v[at] for v in names])
+
+    def _admit(self, ids: np.ndarray, x: np.ndarray, x32: np.ndarray, tokens: pa.Array, names: list[pa.Array]) -> None:
+        a, every = self.asked, np.arange(len(ids))
+        held = []
+        for side, stands in ((0, [(tokens.flatten(), tokens)]), (1, [(v, None) for v in names])):
+            held.append(np.repeat(a.free[side][:, None], len(ids), 1))
+            for values, lists in stands if a.by[side] else ():
+                for v, rows in _where(values, every if lists is None else lists.value_parent_indices().to_numpy()):
+                    if (own := a.by[side].get(v)) is not None:
+                        held[side][np.ix_(own, rows)] = True
+        held = held[0] & held[1]
+        common = held.all(0)
+        rows = np.flatnonzero(common)
+        self._offer(ids[rows], x[rows], x32[rows], [(0, a.directed), (a.directed, len(a.ids))])
+        held &= ~common
+        for f in np.flatnonzero(held.any(1)):
+            rows = np.flatnonzero(held[f])
+            self._offer(ids[rows], x[rows], x32[rows], [(lo[f], hi[f]) for lo, hi in a.slices])
+
+    def _offer(self, ids: np.ndarray, x: np.ndarray, x32: np.ndarray, parts: list[tuple[int, int]]) -> None:
+        (lo, hi), (zero, end) = parts
+        if not len(ids):
+            return
+        for i in range(0, len(ids), ROWS):
+            for j in range(lo, hi, COLUMNS):
+                self._product(ids[i : i + ROWS], x[i : i + ROWS], x32[i : i + ROWS], j, min(hi, j + COLUMNS))
+        if end > zero:
+            first = np.sort(ids)[: self.k]
+            self._merge(np.repeat(np.arange(zero, end), len(first)), np.tile(first, end - zero), np.zeros(len(first) * (end - zero)))
+
+    def _product(self, ids: np.ndarray, x: np.ndarray, x32: np.ndarray, lo: int, hi: int) -> None:
+        s = self.asked.q32[lo:hi] @ x32.T
+        cut = (self.score[lo:hi, -1] - self.slack).astype(np.float32)
+        hit = s >= cut[:, None]
+        if len(ids) > self.k and np.count_nonzero(hit) > 4 * self.k * len(s):
+            least = np.partition(s, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - np.float32(2 * self.slack)
+            hit = s >= np.maximum(cut, least)[:, None]
+        at = np.flatnonzero(hit)
+        if len(at):
+            q, r = np.divmod(at, len(ids))
+            q += lo
+            exact = np.einsum("ij,ij->i", self.asked.q[q], x[r])
+            can = exact >= self.score[q, -1]
+            self._merge(q[can], ids[r[can]], exact[can])
+
+    def _merge(self, q: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        own = np.unique(q)
+        q = np.concatenate([q, np.repeat(own, self.k)])
+        row, score = np.concatenate([row, self.row[own].ravel()]), np.concatenate([score, self.score[own].ravel()])
+        order = np.lexsort((row, -score, q))
+        starts = np.searchsorted(q[order], own)
+        order = order[(starts[:, None] + np.arange(self.k)).ravel()]
+        self.row[own], self.score[own] = row[order].reshape(-1, self.k), score[order].reshape(-1, self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        q, at = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.asked.ids[q]), pa.array(self.row[q, at]), pa.array(self.score[q, at])], names=["query_id", "row_id", "score"])
+
+
+def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def asked_top_k(chunks: DataFrame, asked: Asked, k: int, dim: int = 64) -> DataFrame:
+    """``query_id, rank, row_id, score`` of a block of queries over the rows that their filters admit.
+
+    Each task keeps its own k best per query, so what is shuffled grows with tasks, not rows.
     """
-    sc = chunks.sparkSession.sparkContext
-    block = sc.broadcast(queries)
+    block = chunks.sparkSession.sparkContext.broadcast(asked)
+    named = ["object_ref", "object_id"] if asked.by[1] else []
 
-    def run(batches):
-        q = np.array([v for _, v, _ in block.value], np.float64).reshape(-1, dim)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(block.value, k)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-            n = np.linalg.norm(x, axis=1)
-            s = (x @ q.T) / np.where(n > 0, n, 1)[:, None]
-            ids = b.column(0).to_numpy()
-            tokens = b.column(2).to_pylist()
-            known: dict[str, list[int]] = {}
-            for i, own in enumerate(tokens):
-                for t in own or ():
-                    known.setdefault(t, []).append(i)
-            out = []
-            for j, (qid, _, wanted) in enumerate(block.value):
-                rows = np.arange(len(ids)) if wanted is None else np.unique([i for t in wanted for i in known.get(t, ())]).astype(int)
-                best = rows[np.lexsort((ids[rows], -s[rows, j]))[:k]]
-                out += [(qid, int(ids[i]), float(s[i, j])) for i in best]
-            yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "row_id", "score"), r)) for r in out], schema=pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("score", pa.float64())]))
-
-    rows = chunks.where(usable(F.col("embedding"), dim)).select("row_id", "embedding", "grant_tokens")
+            best.see(b.column(0).to_numpy(), vectors_of(b.column(1), dim), b.column(2), tuple(b.columns[3:]))
+        yield best.rows()
+
+    rows = chunks.where(usable(F.col("embedding"), dim)).select("row_id", "embedding", "grant_tokens", *named)
     return ranked(rows.mapInArrow(run, "query_id bigint, row_id bigint, score double"), "query_id", k)
 
 
+def block_top_k(chunks: DataFrame, queries: list[tuple[int, list[float], frozenset[str] | None]], k: int, dim: int = 64) -> DataFrame:
+    """``query_id, rank, row_id, score`` for a block of queries ``(id, vector, tokens)``; ``tokens`` of
+    None is unfiltered, an empty set admits nothing."""
+    number: dict[frozenset[str] | None, int] = {}
+    of = np.array([number.setdefault(t, len(number)) for _, _, t in queries], np.int64)
+    vectors = np.array([v for _, v, _ in queries], np.float64).reshape(-1, dim)
+    return asked_top_k(chunks, Asked(np.array([i for i, _, _ in queries], np.int64), vectors, [(t, None) for t in number], of), k, dim)
+
+
 def post_filtered(top: DataFrame, k: int, allowed: Column) -> DataFrame:
     """The baseline: of an unfiltered top-k, what the plan allows; never padded back to k."""
     w = Window.partitionBy("query_id").orderBy("rank")
