@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillrock.operators.search import block_top_k
+from quillrock.operators.approximate import approximate_top_k, fit_centres, with_cells
+from quillrock.operators.search import block_top_k, usable
 from quillrock.queries import searching
 
 K = 7
@@ -105,3 +106,29 @@ def test_planned_makes_no_pairs(spark, sf, monkeypatch):
 
     monkeypatch.setattr(searching, "permitted_pairs", pairs)
     assert searching.search_planned(spark, sf).where(F.col("rank") == 1).count() > 0
+
+
+@pytest.mark.parametrize("cells, probes", [(5, 5), (6, 2), (1, 1)])
+def test_approximate_is_exact_in_the_visited_cells(spark, world, cells, probes):
+    """Each cell is met with its visitors as a whole: no row, and no expression, per row and query."""
+    rows, chunks, q, _, _ = world
+    sets = {0: None, 1: ["t1", "t2"], 2: [], 3: ["t3"]}
+    asked = spark.createDataFrame([(i, v, sets[i % 4]) for i, v, _ in q], "query_id bigint, embedding array<double>, tokens array<string>")
+    found = approximate_top_k(chunks, asked, K, cells=cells, probes=probes)
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    got = scores(found)
+    live = chunks.where(usable(F.col("embedding"), 64)).select("row_id", "embedding")
+    centres = fit_centres(live, cells)
+    cell = {r.row_id: r.cells[0] for r in with_cells(live, centres, 1).collect()}
+    visits = {r.query_id: set(r.cells) for r in with_cells(asked, centres, probes).collect()}
+    for i, v, _ in q:
+        plan = ("", "unfiltered" if sets[i % 4] is None else "grant_tokens", sets[i % 4], [])
+        assert [round(s, 9) for _, s in got.get(i, [])] == best([r for r in rows if cell.get(r[0]) in visits[i]], plan, v), i
+
+
+def test_the_fitted_sample_is_the_same_when_cut(spark, world, monkeypatch):
+    from quillrock.operators import approximate
+
+    _, chunks, _, _, _ = world
+    monkeypatch.setattr(approximate, "FIT_ROWS", 64)
+    assert np.array_equal(fit_centres(chunks, 5), fit_centres(chunks, 5, n=1))
